@@ -1,0 +1,9 @@
+"""Every query of the engine by name, with DuckDB SQL of the same result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
