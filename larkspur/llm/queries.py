@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from larkspur.llm import chat
+from larkspur.llm.chat import op2_chat_formatting
+from larkspur.llm.fingerprints import op7_document_fingerprints
+from larkspur.llm.mixing import op4_source_mixing
 from larkspur.llm.packing import op5_best_fit_packing
+from larkspur.llm.secrets import op3_secret_scan
 from larkspur.llm.sstable import op1_sorted_token_tables
 
 QUERIES = {
     "op1_sorted_token_tables": op1_sorted_token_tables,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_source_mixing": op4_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_document_fingerprints": op7_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.OP2_SQL}
