@@ -2,108 +2,100 @@
 
 A text is cut where the tokenizer itself always cuts, so the ids of a text are the
 concatenated ids of its cuts, and those of a cut seen before need no second encoding.
+A text with white space that a cut could part is encoded whole.
 """
 
 from __future__ import annotations
 
 import gc
+import os
 import sys
 from array import array
 
 #: Cuts in one generation of a Python worker's memory: when the young one is full it becomes the old one.
 MEMO_ENTRIES = 500_000
+#: Marks that, after letters, are a piece of their own.
+ENDS = frozenset(".,;:!?")
 
 
-#: Marks that end a word and are no part of it.
-ENDS = tuple(".,;:!?")
-
-
-class Encoder:
-    """Encodes whole texts to little-endian unsigned 32-bit ids.
+class Encoder(dict):
+    """Encodes whole texts to little-endian unsigned 32-bit ids; as a dict, the ids of cuts.
 
     kind "byte": a byte-level vocabulary whose pieces carry their leading space; cuts stand
     before a single space or a newline between two visible characters.
-    kind "word": white space is dropped, so every space and newline is a cut.
+    kind "word": lower case, white space is dropped, so every space and newline is a cut.
     Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str, kind: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
+
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = kind
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.byte = kind == "byte"
         self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in out]
-
-    def _cuts(self, text: str) -> list[str] | None:
-        """The cuts of a text, or None where it has white space that a cut could part."""
-        if self.kind == "word":
-            return text.replace("\n", " ").split(" ")
-        cuts = text.replace("\n", " \n").split(" ")
-        if text[:1] != "\n":
-            cuts[0] = "\r" + cuts[0]  # the only cut with no space before it; no other begins so
-        return cuts
-
-    def _plain(self, cut: str) -> str | None:
-        """What the tokenizer has to see for a cut; None if the cut can't stand alone."""
-        if self.kind == "word":
-            return cut
-        text = cut[1:] if cut[:1] in "\n\r" else cut
-        if not text or text[0].isspace() or text[-1].isspace() or not text.isprintable():
-            return None
-        return text if cut[0] == "\r" else cut if cut[0] == "\n" else " " + cut
-
-    def _learn(self, cuts: set[str]) -> None:
-        """Remember the ids of new cuts that can stand alone. Letters and one mark after them are two pieces."""
-        plain = {c: t for c in cuts if (t := self._plain(c)) is not None}
-        parts = {c: (t[:-1], t[-1]) if t[-1:] in ENDS and t[:-1].lower().strip(" \n").isalpha() else (t,) for c, t in plain.items() if t}
-        raw = list({x for p in parts.values() for x in p})
-        ids = dict(zip(raw, self._ids(raw), strict=True))
-        memo = self.memo
-        memo.update((c, ids[p[0]] + ids[p[1]] if len(p) == 2 else ids[p[0]]) for c, p in parts.items())
-        if self.kind == "word" and "" in cuts:
-            memo[""] = b""
+        # The character that stands for each byte in a byte-level vocabulary.
+        plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: plain.pre_tokenize_str(chr(i))[0][0] for i in range(32, 127)}
+        self.letters |= {i: "".join(plain.pre_tokenize_str(chr(i))[0][0]) for i in range(192, 256)}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of a text without parting white space. One word of Latin letters is one piece, so the model sees it directly."""
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha() and max(word) < "Ā" and (word.isascii() or min(c for c in word if c > "\x7f") >= "À"):
+            return array("I", [t.id for t in self.model.tokenize((text if self.byte else text.lower()).translate(self.letters))]).tobytes()
+        return self._whole(text)
+
+    def __missing__(self, cut: str) -> bytes:
+        ids = self.old.get(cut)
+        if ids is None:
+            if self.byte:
+                text = cut[1:] if cut[:1] in "\n\r" else cut
+                if not text or text[0].isspace() or text[-1].isspace() or not text.isprintable():
+                    raise KeyError(cut)
+                text = text if cut[0] == "\r" else cut if cut[0] == "\n" else " " + cut
+            else:
+                text = cut
+            if cut[-1:] in ENDS and cut[:-1].isalpha() and cut.isascii():
+                ids = self[cut[:-1]] + self._piece(cut[-1])
+            else:
+                ids = self._piece(text) if text else b""
+        self[cut] = ids
+        return ids
+
+    def _encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.byte:
+            cuts = text.replace("\n", " \n").split(" ")
+            if text[0] != "\n":
+                cuts[0] = "\r" + cuts[0]  # the only cut with no space before it
+        else:
+            cuts = text.replace("\n", " ").split(" ")
+        try:
+            return b"".join(map(self.__getitem__, cuts))
+        except KeyError:
+            return self._whole(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as bytes of unsigned 32-bit integers."""
+        if len(self) > MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
         on = gc.isenabled()
-        gc.disable()  # nothing here makes cycles; without this, Python's collector takes half the time
+        gc.disable()  # nothing here makes cycles
         try:
-            return self._encode([t or "" for t in texts])
+            return [self._encode(t or "") for t in texts]
         finally:
             if on:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo, self.old = {}, self.memo
-        every = [self._cuts(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for cuts in every:
-            new.update(cuts)
-        memo, old = self.memo, self.old
-        new = {c for c in new if c not in memo}
-        seen = {c for c in new if c in old}
-        memo.update((c, old[c]) for c in seen)
-        self._learn(new - seen)
-        out: list[bytes | None] = []
-        whole = []
-        for k, cuts in enumerate(every):
-            try:
-                out.append(b"".join([memo[c] for c in cuts]))
-            except KeyError:
-                out.append(None)
-                whole.append(k)
-        if whole:
-            for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
-                out[k] = ids
-        return out
-
 
 def encoder(path: str, kind: str) -> Encoder:
     """The Encoder of this Python worker, kept from task to task."""
