@@ -6,9 +6,12 @@ from larkspur.llm import chat
 from larkspur.llm.chat import op2_chat_formatting
 from larkspur.llm.fingerprints import op7_document_fingerprints
 from larkspur.llm.mixing import op4_source_mixing
+from larkspur.llm.neardup import op10_minhash_near_duplicates
 from larkspur.llm.packing import op5_best_fit_packing
+from larkspur.llm.quality import op9_host_quality
 from larkspur.llm.secrets import op3_secret_scan
 from larkspur.llm.sstable import op1_sorted_token_tables
+from larkspur.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_sorted_token_tables": op1_sorted_token_tables,
@@ -16,7 +19,10 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_source_mixing": op4_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op9_host_quality": op9_host_quality,
+    "op10_minhash_near_duplicates": op10_minhash_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.OP2_SQL}
