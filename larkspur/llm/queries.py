@@ -11,6 +11,7 @@ from larkspur.llm.packing import op5_best_fit_packing
 from larkspur.llm.quality import op9_host_quality
 from larkspur.llm.secrets import op3_secret_scan
 from larkspur.llm.sstable import op1_sorted_token_tables
+from larkspur.llm.suffixes import op8_repeated_strings
 from larkspur.llm.toxicity import op6_toxicity
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_repeated_strings": op8_repeated_strings,
     "op9_host_quality": op9_host_quality,
     "op10_minhash_near_duplicates": op10_minhash_near_duplicates,
 }
