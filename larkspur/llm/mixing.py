@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, materialise
+from larkspur.llm.common import WORD, let, materialise
 
 ROUNDS = 24
 
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, block: int = 128, shard_slots: int = 65_536, seed: int
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(text_col).alias("h"),
+        row_key(id_col, source_col, text_col).alias("h"),
     )
     sized = materialise(sized, "mix-sizes")
     sources = materialise(_sources(sized, block, max_repeats), "mix-sources")
@@ -113,6 +113,32 @@ def mix(docs: DataFrame, block: int = 128, shard_slots: int = 65_536, seed: int
     return Mix(placed, slots.join(parts, ["sid", "block"]))
 
 
+def row_key(id_col: str, source_col: str, text_col: str) -> Column:
+    """A hash of what a document row is known by."""
+    return F.xxhash64(F.col(id_col), F.col(source_col).cast("string"), F.col(text_col).cast("string"))
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The mix as documents with the columns of docs: a row for each time that a document is used.
+
+    Where only some blocks of a document are used, its text is the words of these, in
+    their order. n_chars, if there, follows the text.
+    """
+    mixed = mix(docs, **settings)
+    used = mixed.segments.groupBy("sid", "place", "epoch").agg(F.array_sort(F.collect_list(F.struct("word_from", "words"))).alias("parts"), F.sum("words").alias("used"))
+    about = mixed.docs.filter("size > 0").select("sid", "place", "h", "size")
+    used = used.join(about, ["sid", "place"]).select("h", "parts", (F.col("used") == F.col("size")).alias("whole"))
+    texts = docs.withColumn("h", row_key("doc_id", "source", "text")).groupBy("h").agg(F.first(F.struct(*docs.columns)).alias("d"))
+    words = F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0))
+    some = let(words, lambda w: F.flatten(F.transform("parts", lambda p: F.slice(w, (p["word_from"] + 1).cast("int"), p["words"].cast("int")))))
+    text = F.when(F.col("whole"), F.col("d.text")).otherwise(F.array_join(some, " "))
+    rows = used.hint("merge").join(texts.hint("merge"), "h").select("d.*", text.alias("_text"))
+    rows = rows.withColumn("text", F.col("_text"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
 def taken_digest(mixed: Mix) -> DataFrame:
     """Per document: its size, its source's size and target, and the words the mix takes of it."""
     taken = mixed.segments.groupBy("sid", "place").agg(F.sum("words").alias("taken"))

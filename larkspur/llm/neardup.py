@@ -17,7 +17,7 @@ own texts. Ties need no rule: the least identifier names the group. Empty tables
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialise, release
@@ -89,18 +89,18 @@ SET_SALT, CHECK_SALT = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179
 
 
 def signed(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n (distinct shingles), node and node2 (names of the set), band keys and a 128-bit sketch."""
+    """Per row: id, h (hash of the text), n (distinct shingles), node and node2 (names of the set), band keys and a 128-bit sketch."""
     import pyarrow as pa
 
     rows_in_band, bands = bands_for(percent)
     places = rows_in_band * bands
     factors = (np.arange(1, places + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)).reshape(bands, rows_in_band)
-    types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int64(), pa.int64()]
-    names = ["doc_id", "n", "node", "node2", "bands", "k1", "k2"]
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    names = ["doc_id", "h", "n", "node", "node2", "bands", "k1", "k2"]
 
     def sign(batches):
         for batch in batches:
-            for t in runs(batch.column(1)):
+            for t in runs(batch.column(2)):
                 for first, hashes, at in _set_runs(t):
                     sig = superminhash(hashes, at, places)
                     keys = mixed((sig.reshape(-1, bands, rows_in_band).astype(np.uint64) * factors).sum(2) + np.arange(bands, dtype=np.uint64)).view(np.int64)
@@ -108,13 +108,14 @@ def signed(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFra
                     bits[:, :places] = sig & 1
                     sketch = np.packbits(bits, axis=1).view(np.int64)
                     size = np.diff(at)
-                    own = batch.column(0).slice(t.first + first, len(size))
+                    own = [batch.column(k).slice(t.first + first, len(size)) for k in (0, 1)]
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                    columns = [own, size, _set_sums(hashes, at, SET_SALT), _set_sums(hashes, at, CHECK_SALT), lists, sketch[:, 0], sketch[:, 1]]
+                    columns = [*own, size, _set_sums(hashes, at, SET_SALT), _set_sums(hashes, at, CHECK_SALT), lists, sketch[:, 0], sketch[:, 1]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, np.ndarray) else c for c, k in zip(columns, types, strict=True)], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n long, node long, node2 long, bands array<long>, k1 long, k2 long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, h long, n long, node long, node2 long, bands array<long>, k1 long, k2 long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -190,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs; rows are linked from percent/100 Jaccard similarity on."""
+    """doc_id, h (hash of the text), n_shingles, component_id and kept of every row of docs; rows are linked from percent/100 Jaccard similarity on."""
     rows = materialise(signed(docs, percent, id_col, text_col), "signatures")
     one = F.min_by(F.struct("doc_id", "n", "bands", "k1", "k2"), "doc_id")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("node", "node2").agg(one.alias("x"))
@@ -236,10 +237,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = roots.join(least, "root").select("node", "component_id")
     final = classes.select("node", "node2", F.col("doc_id").alias("first_id")).join(named, "node", "left").select("node", "node2", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = rows.select("doc_id", "n", "node", "node2").join(final, ["node", "node2"], "left")
+    out = rows.select("doc_id", "h", "n", "node", "node2").join(final, ["node", "node2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, one of each group of near-duplicates; of rows that repeat identifier and text, one."""
+    judged = near_duplicates(docs, percent, id_col, text_col).filter("kept")
+    none = docs.filter(F.col(id_col).isNull())
+    stay = judged.filter("doc_id is not null").groupBy("doc_id", "component_id").agg(F.min("h").alias("_h")).select(F.col("doc_id").alias("_id"), "_h").distinct()
+    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_k").orderBy(F.lit(1)))).filter(F.col(id_col).isNotNull() & (F.col("_n") == 1))
+    return keyed.join(stay.hint("merge"), (keyed[id_col] == stay["_id"]) & (keyed["_k"] == stay["_h"]), "left_semi").select(*docs.columns).union(none)
 
 
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85).drop("h")
