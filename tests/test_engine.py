@@ -174,3 +174,19 @@ def test_stream_windows(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r.n for r in spark.sql("SELECT n FROM windows_seen").collect()) == [1, 1, 2]
+
+
+def test_live_tables_and_cached_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.sync(spark.range(2), "t")
+    engine = Engine(spark)
+    engine.live("t", store, "t")
+    assert engine.sql("SELECT count(*) AS n FROM t").first()["n"] == 2
+    store.sync(spark.range(7), "t")
+    assert engine.sql("SELECT count(*) AS n FROM t").first()["n"] == 7
+    assert rows(engine.sql("SHOW TABLES")) == [("t", 1)] and rows(engine.sql("DESCRIBE t")) == [("id", "bigint")]
+    (tmp_path / "x.csv").write_text("a\n1\n2\n")
+    path = str(tmp_path / "x.csv")
+    assert store.cached(path).count() == 2 and store.cached(path).count() == 2
+    table = next(n for n in store._list(str(tmp_path / "store")) if n.startswith("file-"))
+    assert len(store.history(table, store.head(table))) == 1
