@@ -338,3 +338,51 @@ def test_backward_extension_matches_brute_force(seed):
         want = [sum(1 << j for j in range(len(p) - width + 1) if first[p[j : j + width]] < i) for p, i in zip(pieces, ids, strict=True)]
         assert suffixes.repeated_windows(pieces, ids, width) == want
         assert suffixes._searched(np.zeros(len(pieces), np.int64), ids, pieces, width) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forests_join_what_pairs_join(seed):
+    from larkspur.llm import neardup
+    from larkspur.llm.words import mixed
+
+    rng = np.random.default_rng(seed)
+    bases = [mixed(np.arange(1000 * k, 1000 * k + 90, dtype=np.uint64)) for k in range(3)]
+    sets = []
+    for _ in range(60 if seed else 5):
+        own = bases[rng.integers(3)].copy()
+        spots = rng.integers(0, 90, rng.integers(0, 14))
+        own[spots] = mixed(rng.integers(0, 2**60, len(spots)).astype(np.uint64))
+        sets.append(np.unique(own))
+    plain = [set(s.tolist()) for s in sets]
+    parent = list(range(len(sets)))
+
+    def find(p, x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(plain[i] & plain[j]) >= 85 * len(plain[i] | plain[j]):
+                parent[find(parent, i)] = find(parent, j)
+    other = list(range(len(sets)))
+    links = neardup.linked(sets, 85)
+    for i, j in links:
+        assert 100 * len(plain[i] & plain[j]) >= 85 * len(plain[i] | plain[j])
+        other[find(other, i)] = find(other, j)
+    group = lambda p: {frozenset(k for k in range(len(sets)) if find(p, k) == r) for r in {find(p, k) for k in range(len(sets))}}
+    assert group(parent) == group(other) and len(links) < len(sets)
+
+
+def test_superminhash_estimates_similarity():
+    from larkspur.llm import neardup
+    from larkspur.llm.words import mixed
+
+    errors = []
+    for k in range(60):
+        n = 20 + 20 * k
+        a, b = np.sort(mixed(np.arange(k * 10**6, k * 10**6 + n, dtype=np.uint64))), np.sort(mixed(np.arange(k * 10**6 + n // 4, k * 10**6 + n // 4 + n, dtype=np.uint64)))
+        sig = neardup.superminhash(np.concatenate((a, b)), np.array([0, n, 2 * n]), 120)
+        assert (sig < 120 << 24).all()
+        errors.append((sig[0] == sig[1]).mean() - (n - n // 4) / (n + n // 4))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
