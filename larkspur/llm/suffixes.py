@@ -7,7 +7,7 @@ neighbouring suffixes by increasing value and stops at the width. What is then s
 a common prefix of at least the width; the least identifier of such a run of suffixes keeps its copy.
 
 Pieces meet in one group as follows. Each window of `width` bytes has a least hash among its
-inner strings of 16 bytes; it depends on the window alone, so equal windows have equal ones.
+inner strings of 24 bytes; it depends on the window alone, so equal windows have equal ones.
 Runs of windows with one least hash are pieces. Texts stand in chunks by identifier. For
 each distinct piece a chunk sends two hashes. Where a whole piece is in an earlier chunk, it is settled; only
 first pieces that share their least hash with a different piece are sent as bytes and
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import materialise, release
 from larkspur.llm.words import mixed
 
-INNER = 16
+INNER = 24
 CHUNK_BYTES = 2_000_000
 #: Bytes of hashes of one bucket, and of pieces searched together.
 BUCKET_BYTES, GROUP_BYTES = 8_000_000, 300_000
@@ -48,9 +48,11 @@ def _pieces(data: np.ndarray, at: np.ndarray, width: int):
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), empty, empty, empty
     h, k = BYTE[data], 1
-    while k < INNER:
+    while k < 8:
         h = h[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) + h[k:]
         k *= 2
+    third = np.uint64(pow(0x9E3779B97F4A7C15, 8, 2**64))
+    h = (h[:-16] * third + h[8:-8]) * third + h[16:]
     h, k, span = mixed(h), 1, width - INNER + 1
     while 2 * k <= span:
         h = np.minimum(h[:-k], h[k:])
@@ -76,7 +78,7 @@ def _pieces(data: np.ndarray, at: np.ndarray, width: int):
     p = spot[head]
     lift = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), BASE))), dtype=np.uint64)
     own = mixed((total[p + windows + width - 1] - total[p]) * lift[p] + windows.astype(np.uint64))
-    return h[head], own, owner[head], p, windows
+    return mixed(h[head] ^ BASE), own, owner[head], p, windows  # least hashes are small; mixed again they spread evenly
 
 
 class Entries:
@@ -117,10 +119,12 @@ def _chunk(row: dict, width: int, bits: int):
 def repeated_windows(pieces: list[bytes], ids: np.ndarray, width: int) -> list[int]:
     """Of each piece, the windows (as bits) that start in a piece with a smaller identifier too.
 
-    Suffixes are sorted by their first `width` bytes. Intervals of suffixes with a common prefix of
-    length l are extended backward by every byte; the end of each new interval is the end of a
-    common prefix of length l, unless a shorter one ended there. After `width` rounds, open borders join
-    suffixes that share `width` bytes.
+    Suffixes are sorted by their first `width` bytes, which gives the Burrows-Wheeler transform and its
+    mapping to the preceding suffix. An interval of suffixes with a common prefix of length l whose end
+    is the end of a common prefix of l - 1 is extended backward by each byte before it; the
+    end of the new interval ends a common prefix of length l, unless a shorter one ended there. Rounds
+    begin at a length that the sort keys give directly. After `width` rounds, open borders
+    join suffixes that share `width` bytes.
     """
     lengths = np.array([len(p) for p in pieces])
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -130,47 +134,50 @@ def repeated_windows(pieces: list[bytes], ids: np.ndarray, width: int) -> list[i
     used = np.unique(raw)
     code = np.zeros(256, np.uint8)
     code[used] = np.arange(1, len(used) + 1)
-    inside = np.repeat(starts, lengths) + np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    text[inside] = code[raw]
+    text[np.repeat(starts, lengths) + np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = code[raw]
     left = np.repeat(starts + lengths, lengths + 1) - np.arange(n)  # bytes to the piece's end
 
-    padded = np.concatenate((text, np.zeros(width + 8, np.uint8)))
+    # Eight bytes from each place on, as one number; what lies behind the piece's end counts as 0.
+    eight = np.concatenate((text, np.zeros(width + 16, np.uint8))).astype(np.uint64)
+    for k in (1, 2, 4):
+        eight = (eight[:-k] << np.uint64(8 * k)) | eight[k:]
     keys = []
-    for word in range(0, width, 8):
-        key = np.zeros(n, np.uint64)
-        for j in range(word, word + 8):
-            key = key << np.uint64(8)
-            if j < width:
-                key |= np.where(left > j, padded[j : j + n], 0).astype(np.uint64)
-        keys.append(key)
+    for at in range(0, width, 8):
+        size = np.clip(np.minimum(left, width) - at, 0, 8)
+        keys.append(np.where(size > 0, eight[at : at + n] >> (np.uint64(8) * (8 - np.maximum(size, 1)).astype(np.uint64)) << (np.uint64(8) * (8 - np.maximum(size, 1)).astype(np.uint64)), 0))
     suffixes = np.lexsort(keys[::-1])
-    before = np.where(suffixes > 0, text[suffixes - 1], 0)
-    codes = len(used) + 1
-    below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=codes))))
-    seen = np.zeros((codes, n + 1), np.int32)  # of each byte, how often it stands before the first i suffixes
-    for c in range(1, codes):
-        np.cumsum(before == c, out=seen[c, 1:])
+    before = np.where(suffixes > 0, text[suffixes - 1], 0).astype(np.uint8)
+    back = np.empty(n, np.int64)  # where the suffix one byte longer stands
+    back[np.argsort(before, kind="stable")] = np.arange(n)
 
+    first = min(24, (width - 1) // 8 * 8)
     ended = np.zeros(n + 1, bool)
-    ended[n] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(width):
-        next_low, next_high = [], []
-        for c in range(1, codes):
-            a, b = seen[c, low], seen[c, high]
-            some = b > a
-            a, b = below[c] + a[some], below[c] + b[some]
-            new = ~ended[b]
-            if b.size and (b[-1] == n):  # the last border has always ended, its interval still goes on
-                new |= b == n
-            a, b = a[new], b[new]
-            b, keep = np.unique(b, return_index=True)
-            next_low.append(a[keep])
-            next_high.append(b)
-        low, high = np.concatenate(next_low), np.concatenate(next_high)
-        ended[high] = True
+    ended[[0, n]] = True
+    just = np.zeros(n + 1, bool)  # borders of common prefixes of first - 1 bytes
+    for k in range(first // 8):
+        key = keys[k][suffixes]
+        change = key[1:] ^ key[:-1]
+        just[1:n] = ~ended[1:n] & (change > 0) & (change < 256) if k + 1 == first // 8 else False
+        ended[1:n] |= change > 0
+    edges = np.flatnonzero(ended)
+    low, high = edges[:-1], edges[1:]
+    on = (just[high] | (high == n)) & (left[suffixes[low]] >= first)
+    low, high = low[on], high[on]
+    for _ in range(first, width):
         if not len(low):
             break
+        size = high - low
+        member = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        key = np.repeat(np.arange(len(low)), size) << 8 | before[member]
+        order = np.argsort(key, kind="stable")
+        key, member = key[order], member[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        a = back[member[new]]
+        b = back[member[np.append(new[1:], True)]] + 1
+        on = ((key[new] & 255) > 0) & (~ended[b] | (b == n))
+        low, high = a[on], b[on]
+        ended[high] = True
     full = left[suffixes] >= width
     open_border = ~ended[1:n] & full[:-1] & full[1:]
     group = np.concatenate(([0], np.cumsum(~open_border)))
@@ -179,10 +186,9 @@ def repeated_windows(pieces: list[bytes], ids: np.ndarray, width: int) -> list[i
     least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, np.where(full, who, np.iinfo(np.int64).max))
     hit = np.flatnonzero(full & (who > least[group]))
-    out = [0] * len(pieces)
-    for k, shift in zip(piece[hit].tolist(), (suffixes[hit] - starts[piece[hit]]).tolist(), strict=True):
-        out[k] |= 1 << shift
-    return out
+    bits = np.zeros(len(pieces), np.uint64)
+    np.bitwise_or.at(bits, piece[hit], np.uint64(1) << (suffixes[hit] - starts[piece[hit]]).astype(np.uint64))
+    return bits.tolist()
 
 
 def _searched(least: np.ndarray, ids: np.ndarray, pieces: list[bytes], width: int) -> list[int]:
@@ -214,7 +220,8 @@ def _searched(least: np.ndarray, ids: np.ndarray, pieces: list[bytes], width: in
         if held and size + group_size > GROUP_BYTES:
             search(held)
             held, size = [], 0
-        held, size = held + own, size + group_size
+        held.extend(own)
+        size += group_size
     if held:
         search(held)
     return out
