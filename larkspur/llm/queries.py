@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import chat
+from larkspur.llm import chat, neardup, quality
 from larkspur.llm.chat import op2_chat_formatting
 from larkspur.llm.fingerprints import op7_document_fingerprints
 from larkspur.llm.mixing import op4_source_mixing
@@ -27,4 +27,8 @@ QUERIES = {
     "op10_minhash_near_duplicates": op10_minhash_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.OP2_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": chat.OP2_SQL,
+    "op9_host_quality": quality.OP9_SQL,
+    "op10_minhash_near_duplicates": neardup.OP10_SQL,
+}
