@@ -3,11 +3,11 @@
 Documents with equal shingle sets are one class. Each class gets a SuperMinHash signature: every
 element draws ranks along a random permutation of the places, so places share no rank, which
 lowers the variance, and drawing stops once no further rank can lower a place. Classes that share
-a band are candidates. In each bucket every class is first compared with one leader; after
-grouping, only pairs of a bucket that are still in different groups are compared, so
-nothing a bucket holds goes unchecked and a group of copies never becomes all its pairs. Candidates pass
-a size test and a sketch test, then the test on their full sets, read again from the
-texts. Links are grouped by union-find inside tasks and by alternating stars across them.
+a band are candidates if their sizes allow the similarity and their sketches don't rule it out; each
+bucket sends a forest of its candidates, which are then grouped. Inside a group every pair of full sets, read
+again from the texts, is verified by exact counts of common elements, blocks against blocks, and again
+a forest of the links is sent: no link is lost, and a group of copies never becomes rows of all its
+pairs. Links are grouped by union-find inside tasks and by alternating stars across them.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing; a null
 identifier is kept and linked with nothing. Rows that repeat an identifier are judged by their
@@ -26,6 +26,8 @@ from larkspur.llm.words import mixed, runs, shingle_sets
 SHINGLE = 5
 #: Elements whose permutations are held at once.
 ELEMENTS_AT_ONCE = 100_000
+#: Nodes of a block whose sets a task compares with another block's, and shared elements counted at once.
+BLOCK, COLUMNS = 2048, 2048
 
 
 def bands_for(percent: int) -> tuple[int, int]:
@@ -118,15 +120,119 @@ def signed(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFra
     return rows.mapInArrow(sign, "doc_id long, h long, n long, node long, node2 long, bands array<long>, k1 long, k2 long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (a, b, doc_a, doc_b) those (a, b) whose full sets are similar enough. Every set is read from its text again."""
+def _most_differing(percent: int) -> int:
+    """Sketch bits in which a pair at the limit differs at most: five standard deviations above the mean."""
+    places = bands_for(percent)[0] * bands_for(percent)[1]
+    p = (1 - percent / 100) / 2
+    return int(places * p + 5 * (places * p * (1 - p)) ** 0.5) + 1
+
+
+def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for every bucket, a forest that joins all its classes that may be similar to one another.
+
+    A bucket is searched from class to class: each one found is compared, by size and sketch, with all that
+    are not yet reached. So a bucket sends fewer rows than it has classes, never its pairs.
+    """
     import pyarrow as pa
 
-    asked = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("doc_a").alias("doc")), F.struct(F.col("b").alias("node"), F.col("doc_b").alias("doc")))).alias("x")).select("a", "b", "x.node", "x.doc")
+    most = _most_differing(percent)
+    rows = classes.select(F.explode("bands").alias("band"), "node", "n", "k1", "k2").repartition("band").sortWithinPartitions("band", "node")
+
+    def forest(node, n, k1, k2):
+        out, left = [], np.arange(len(node))
+        while len(left) > 1:
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                x = todo.pop()
+                differ = np.bitwise_count(k1[left] ^ k1[x]) + np.bitwise_count(k2[left] ^ k2[x]).astype(np.int64)
+                near = (differ <= most) & (100 * np.minimum(n[left], n[x]) >= percent * np.maximum(n[left], n[x]))
+                found, left = left[near], left[~near]
+                out += [(node[x], node[y]) for y in found]
+                todo += found.tolist()
+        return out
+
+    def search(batches):
+        rest = None  # the last bucket of a batch may go on in the next
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            edge = np.flatnonzero(np.diff(columns[0])) + 1
+            last = edge[-1] if len(edge) else 0
+            rest = [c[last:] for c in columns]
+            yield from links([c[:last] for c in columns])
+        if rest is not None:
+            yield from links(rest)
+
+    def links(columns):
+        band, node, n, k1, k2 = columns
+        if not len(band):
+            return
+        start = np.concatenate(([0], np.flatnonzero(np.diff(band)) + 1))
+        size = np.diff(np.append(start, len(band)))
+        k1, k2 = k1.view(np.uint64), k2.view(np.uint64)
+        out = []
+        for a, m in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            out += forest(node[a : a + m], n[a : a + m], k1[a : a + m], k2[a : a + m])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(search, "a long, b long").distinct()
+
+
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A forest that joins all sets that are similar, by the exact sizes of all intersections."""
+    size = np.array([len(x) for x in sets])
+    n = len(sets)
+    common = np.zeros((n, n), np.float32)
+    if n <= 6:
+        for i in range(n):
+            for j in range(i):
+                both = np.concatenate((sets[i], sets[j]))
+                both.sort()
+                common[i, j] = common[j, i] = (both[1:] == both[:-1]).sum()
+    else:
+        _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1
+        owner = np.repeat(np.arange(n), size)
+        on = count[element] > 1
+        owner, element = owner[on], shared[element[on]]
+        order = np.argsort(element, kind="stable")
+        owner, element = owner[order], element[order]
+        for low in range(0, int(element[-1]) + 1 if len(element) else 0, COLUMNS):
+            a, b = np.searchsorted(element, (low, low + COLUMNS))
+            held = np.zeros((n, COLUMNS), np.float32)
+            held[owner[a:b], element[a:b] - low] = 1
+            common += held @ held.T
+    near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    out, left = [], np.ones(n, bool)
+    for k in range(n):
+        if not left[k]:
+            continue
+        left[k], todo = False, [k]
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(near[x] & left)
+            left[found] = False
+            out += [(x, y) for y in found.tolist()]
+            todo += found.tolist()
+    return out
+
+
+def verified(groups: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) inside groups (node, root, doc): a forest of each group's similar sets, read from the texts again.
+
+    A group's nodes are dealt to blocks of BLOCK; each pair of blocks is a task's work, so a task
+    holds the sets of two blocks at most, and what a pair of blocks sends is fewer rows than it has nodes.
+    """
+    import pyarrow as pa
+
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    asked = groups.join(sizes.select("root", blocks.alias("blocks")), "root").select("node", "root", "doc", "blocks")
+    asked = materialise(asked.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))), "asked")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # Each text is sent once to its requests' place, and its set from there to the pairs.
     wanted = asked.groupBy("doc").agg(F.collect_set("node").alias("nodes"))
-    sets = texts.join(wanted, "doc").select("doc", "nodes", "text")
+    sets = texts.hint("merge").join(wanted.hint("merge"), "doc").select("doc", "nodes", "text")
 
     def read(batches):
         for batch in batches:
@@ -136,14 +242,30 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_
                 names = _set_sums(hashes, at, SET_SALT)
                 hit = [k for k in range(len(t)) if names[k] in nodes[t.first + k]]
                 if hit:
-                    lists = pa.array([hashes[at[k] : at[k + 1]].view(np.int64) for k in hit], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[hit], pa.int64()), lists], names=["node", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[hit], pa.int64()), pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in hit], pa.binary())], names=["node", "set"])
 
-    # Rows that repeat an identifier and its text give the same set again.
-    held = sets.mapInArrow(read, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
-    both = asked.select("a", "b", "node").join(held, "node").groupBy("a", "b").agg(F.first(F.when(F.col("node") == F.col("a"), F.col("set")), True).alias("x"), F.first(F.when(F.col("node") == F.col("b"), F.col("set")), True).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("c", common).filter(100 * F.col("c") >= percent * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b")
+    def compare(batches):
+        key, names, held = None, [], []
+
+        def found():
+            out = [(names[i], names[j]) for i, j in linked(held, percent)] if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for own, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    yield found()
+                    key, names, held = own, [], []
+                if not names or names[-1] != node:  # rows that repeat an identifier and its text repeat the set
+                    names.append(node)
+                    held.append(np.frombuffer(raw, np.uint64))
+        yield found()
+
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = asked.select("node", "root", "own", "blocks", other)
+    key = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
+    rows = sets.mapInArrow(read, "node long, set binary").hint("merge").join(dealt.select("node", key.alias("key")).hint("merge"), "node")
+    return rows.select("key", "node", "set").repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,43 +318,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     one = F.min_by(F.struct("doc_id", "n", "bands", "k1", "k2"), "doc_id")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("node", "node2").agg(one.alias("x"))
     classes = materialise(classes.select("node", "node2", "x.*"), "classes")
-    about = classes.select("node", F.col("doc_id").alias("doc"), "n", "k1", "k2")
-    members = classes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    members = materialise(members.join(shared, "band"), "buckets")
-
-    def similar(a: str, b: str):
-        """Both sizes allow the similarity, and the sketches don't rule it out (seven standard deviations)."""
-        places = bands_for(percent)[0] * bands_for(percent)[1]
-        p = (1 - percent / 100) / 2
-        most = int(places * p + 7 * (places * p * (1 - p)) ** 0.5) + 1
-        differ = F.bit_count(F.col(f"{a}.k1").bitwiseXOR(F.col(f"{b}.k1"))) + F.bit_count(F.col(f"{a}.k2").bitwiseXOR(F.col(f"{b}.k2")))
-        return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & (differ <= most)
-
-    def with_facts(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(about.alias("x"), F.col("a") == F.col("x.node")).join(about.alias("y"), F.col("b") == F.col("y.node"))
-        return pairs.filter(similar("x", "y")).select("a", "b", F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
-
-    stars = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialise(with_facts(stars), "pairs")
-    links = materialise(verified(tried, docs, percent, id_col, text_col), "edges")
+    about = classes.select("node", F.col("doc_id").alias("doc"))
+    maybe = materialise(candidate_links(classes, percent), "candidates")
+    groups = components(maybe).join(about, "node")
+    links = materialise(verified(groups, docs, percent, id_col, text_col), "edges")
     release(docs.sparkSession)
     roots = components(links)
 
-    # Of each bucket that still holds several groups: pairs from different groups, not tried yet.
-    rooted = members.select("node", "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("band")
-    rest = materialise(rooted.join(apart, "band").join(about, "node"), "apart")
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & similar("x", "y"))
-    more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(more.join(done, ["a", "b"], "left_anti"), "pairs")
-    if more.head(1):
-        links = materialise(links.union(verified(more, docs, percent, id_col, text_col)), "edges")
-        release(docs.sparkSession)
-        roots = components(links)
-
     named = roots.join(about.select("node", "doc"), "node")
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = roots.join(least, "root").select("node", "component_id")
@@ -254,3 +346,16 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "d
 
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85).drop("h")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept FROM d JOIN k ON k.a = d.doc_id LEFT JOIN n USING (doc_id)
+"""
