@@ -3,8 +3,8 @@
 Every shingle of five words is hashed once; the hash's high bits choose a bin, each bin keeps
 its least hash. An empty bin copies a bin drawn for it alone, uniformly among the filled
 ones (optimal densification): the first filled bin of a few hashed draws, and where all of
-these are empty, the filled bin with the least hashed rank. A fingerprint stores the low
-eight bits of each bin. Two unequal bins still agree by chance in 1 of 256, which the
+these are empty, the filled bin with the least hashed rank. A fingerprint stores eight low
+bits of each bin's value, hashed with the bin. Two unequal bins still agree by chance in 1 of 256, which the
 likeness corrects for.
 
 Words are what stands between ASCII white space. A text of one to four words is one shingle; a text
@@ -58,13 +58,14 @@ def fingerprint(text: Column) -> Column:
         def fill(own: Column) -> Column:
             def donor(j: Column) -> Column:
                 draws = F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), lambda a: F.get(bins, F.xxhash64(j, a).bitwiseAND(F.lit(BINS - 1)).cast("int")))
-                rank = lambda v: F.xxhash64(j, F.lit(0), bin_of(v)).bitwiseAND(F.lit(-BINS)).bitwiseOR(v.bitwiseAND(F.lit(BINS - 1)))
-                return F.coalesce(F.get(F.filter(draws, filled), F.lit(0)), F.array_min(F.transform(own, rank)))
+                rank = lambda v: F.struct(F.xxhash64(j, F.lit(0), bin_of(v)).alias("rank"), v.alias("value"))
+                return F.coalesce(F.get(F.filter(draws, filled), F.lit(0)), F.array_min(F.transform(own, rank))["value"])
 
             return F.transform(bins, lambda v, j: F.when(filled(v), v).otherwise(donor(j)))
 
         whole = F.when(F.size(F.filter(bins, filled)) == BINS, bins).otherwise(let(F.filter(bins, filled), fill))
-        return F.transform(whole, lambda v: F.when(v.bitwiseAND(F.lit(128)) == 0, v.bitwiseAND(F.lit(127))).otherwise(v.bitwiseAND(F.lit(127)) - 128).cast("tinyint"))
+        # Hashed with the bin, so that copies of one value don't agree by chance in all their bins at once.
+        return F.transform(whole, lambda v, j: (F.xxhash64(v, j).bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
 
     def of(hashes: Column) -> Column:
         return F.when(F.size(hashes) == 0, F.array().cast("array<tinyint>")).otherwise(let(let(F.sort_array(F.concat(hashes, blanks)), least), dense))
