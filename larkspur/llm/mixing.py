@@ -110,7 +110,8 @@ def mix(docs: DataFrame, block: int = 128, shard_slots: int = 65_536, seed: int
     inner = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("sid"), epoch))
     slots = slots.select("sid", epoch.alias("epoch"), inner.alias("block"), spot.alias("spot"))
     slots = slots.select("sid", "epoch", "block", F.floor(F.col("spot") / shard_slots).alias("shard"), (F.col("spot") % shard_slots).alias("position"))
-    return Mix(placed, slots.join(parts, ["sid", "block"]))
+    # Both sides grow with the input, and Spark's estimate after explode is far too low: never broadcast.
+    return Mix(placed, slots.hint("merge").join(parts.hint("merge"), ["sid", "block"]))
 
 
 def row_key(id_col: str, source_col: str, text_col: str) -> Column:
