@@ -73,6 +73,8 @@ class Encoder(dict):
         if not text:
             return b""
         if self.byte:
+            if "\r" in text:  # a cut could begin with it, as the marked first one does
+                return self._whole(text)
             cuts = text.replace("\n", " \n").split(" ")
             if text[0] != "\n":
                 cuts[0] = "\r" + cuts[0]  # the only cut with no space before it

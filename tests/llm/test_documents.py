@@ -153,6 +153,18 @@ def test_token_tables(spark, request, which):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("text", ["a \rb", "b\rc \rd \r", "\ra b", "a\r\nb \r\n c", "10% \r20% \rdone."])
+def test_carriage_returns_are_encoded(text):
+    import public_tokenizers
+    from larkspur.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["b c", text, "a b"]  # what one text leaves in the memory must not change the next
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path, "byte").encode(texts)] == want
+
+
 def test_shard_lookup():
     import io
 
