@@ -313,7 +313,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles, component_id and kept of every row of docs; rows are linked from percent/100 Jaccard similarity on."""
+    """doc_id, h (hash of the text), n_shingles, component_id, kept and root of every row of docs; rows are linked from percent/100 Jaccard similarity on.
+
+    root names the row's group, also where groups share their least identifier; of a row without words or identifier it is h.
+    """
     rows = materialise(signed(docs, percent, id_col, text_col), "signatures")
     one = F.min_by(F.struct("doc_id", "n", "bands", "k1", "k2"), "doc_id")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("node", "node2").agg(one.alias("x"))
@@ -327,25 +330,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     named = roots.join(about.select("node", "doc"), "node")
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = roots.join(least, "root").select("node", "component_id")
-    final = classes.select("node", "node2", F.col("doc_id").alias("first_id")).join(named, "node", "left").select("node", "node2", F.coalesce("component_id", "first_id").alias("component_id"))
+    named = roots.join(least, "root").select("node", "root", "component_id")
+    final = classes.select("node", "node2", F.col("doc_id").alias("first_id")).join(named, "node", "left").select("node", "node2", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "h", "n", "node", "node2").join(final, ["node", "node2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linkable, F.col("component_id")).otherwise(F.col("doc_id"))
+    root = F.when(linkable, F.col("root")).otherwise(F.col("h"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), root.alias("root"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each group of near-duplicates; of rows that repeat identifier and text, one."""
     judged = near_duplicates(docs, percent, id_col, text_col).filter("kept")
     none = docs.filter(F.col(id_col).isNull())
-    stay = judged.filter("doc_id is not null").groupBy("doc_id", "component_id").agg(F.min("h").alias("_h")).select(F.col("doc_id").alias("_id"), "_h").distinct()
+    stay = judged.filter("doc_id is not null").groupBy("doc_id", "root", F.col("n_shingles") > 0).agg(F.min("h").alias("_h")).select(F.col("doc_id").alias("_id"), "_h").distinct()
     keyed = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_k").orderBy(F.lit(1)))).filter(F.col(id_col).isNotNull() & (F.col("_n") == 1))
     return keyed.join(stay.hint("merge"), (keyed[id_col] == stay["_id"]) & (keyed["_k"] == stay["_h"]), "left_semi").select(*docs.columns).union(none)
 
 
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85).drop("h")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85).drop("h", "root")
 
 
 OP10_SQL = r"""

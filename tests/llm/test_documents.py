@@ -84,6 +84,16 @@ def test_near_duplicates_match_all_pairs(spark, request, which):
     assert got == want
 
 
+def test_each_group_keeps_a_row_where_identifiers_repeat(spark):
+    from larkspur.llm.neardup import without_near_duplicates
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(100)) for c in "pqr")
+    rows = [(5, one), (5, two), (6, two + " end"), (7, one + " end"), (8, three), (8, three + " end"), (8, three), (9, None), (9, " "), (9, "")]
+    got = [(r["doc_id"], r["text"] or "") for r in rows_of(without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))]
+    assert sorted(x for x in got if x[0] != 8) == sorted([(5, one), (5, two), (9, ""), (9, " ")])
+    assert [x[1] in (three, three + " end") for x in got if x[0] == 8] == [True]
+
+
 @pytest.mark.parametrize("which", ["odd", "real"])
 def test_quality_measures(spark, request, which):
     path, rows = request.getfixturevalue(which)
