@@ -230,6 +230,16 @@ def test_open_bins_close_the_fullest():
     assert bins.place(1) == (3, 8) and bins.place(4) == (0, 6)
 
 
+def test_packing_of_long_pieces_fills_bins(spark):
+    from larkspur.llm.packing import pack
+    from pyspark.sql import functions as F
+
+    held = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(512)) + 1).alias("length"))
+    out = rows_of(pack(held, capacity=512, places=750))
+    assert len(out) == 6000
+    assert len({r["sequence_id"] for r in out}) <= sum(r["length"] for r in out) / 512 * 1.04
+
+
 @pytest.mark.parametrize("which", ["odd", "real"])
 def test_mix(spark, request, which):
     path, rows = request.getfixturevalue(which)
