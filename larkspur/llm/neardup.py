@@ -121,10 +121,10 @@ def signed(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFra
 
 
 def _most_differing(percent: int) -> int:
-    """Sketch bits in which a pair at the limit differs at most: five standard deviations above the mean."""
+    """Sketch bits in which a pair at the limit differs at most: seven standard deviations above the mean."""
     places = bands_for(percent)[0] * bands_for(percent)[1]
     p = (1 - percent / 100) / 2
-    return int(places * p + 5 * (places * p * (1 - p)) ** 0.5) + 1
+    return int(places * p + 7 * (places * p * (1 - p)) ** 0.5) + 1
 
 
 def candidate_links(classes: DataFrame, percent: int) -> DataFrame:

@@ -412,6 +412,17 @@ def test_forests_join_what_pairs_join(seed):
     assert group(parent) == group(other) and len(links) < len(sets)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_rule_out_almost_no_pair_at_the_limit(percent):
+    import math
+
+    from larkspur.llm.neardup import _most_differing, bands_for
+
+    places, p = math.prod(bands_for(percent)), (1 - percent / 100) / 2
+    tail = sum(math.comb(places, k) * p**k * (1 - p) ** (places - k) for k in range(_most_differing(percent) + 1, places + 1))
+    assert tail < 1e-8
+
+
 def test_superminhash_estimates_similarity():
     from larkspur.llm import neardup
     from larkspur.llm.words import mixed
