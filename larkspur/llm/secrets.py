@@ -4,7 +4,8 @@ The patterns give base spans. The method adds spans of kind `markov`: tokens of
 characters, long enough and of letters and digits mixed, whose characters follow one another
 rather as in random strings than as in ordinary identifiers. Two first-order Markov models
 are counted from labelled samples (1: random, 0: ordinary); a token's score is the mean
-log-likelihood ratio per transition. A markov span never overlaps a base span.
+log-likelihood ratio per transition. A markov span never overlaps a base span: what
+base spans leave of a token is judged stretch by stretch, each as a token of its own.
 
 Spans are code points, end exclusive. Only DataFrame functions are used. A scan reads each text
 in place: no shuffle, no state. Nulls: a null text is an empty one and has no spans; repeated rows
@@ -27,7 +28,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the Markov models judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Mean log-likelihood ratio per transition above which a token counts as random.
 THRESHOLD = 0.35
 #: Rows of labelled samples of each class that the default models are trained on.
@@ -104,6 +106,16 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(matches(text, ASSIGN, 0, long_enough), matches(text, ACCESS, 1), matches(text, HEX, 2)))
 
 
+def uncovered(span: Column, base: Column) -> Column:
+    """The stretches of a span, of LEAST characters or more, that no base span covers."""
+    part = lambda start, end: F.array(F.struct(start.alias("start"), span["kind"].alias("kind"), end.alias("end")))
+    over = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    zero = F.struct(span["start"].alias("at"), F.array().cast(SPANS).alias("out"))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+    left = F.aggregate(over, zero, step, lambda acc: F.concat(acc["out"], part(acc["at"], span["end"])))
+    return F.filter(left, lambda x: x["end"] - x["start"] >= LEAST)
+
+
 def randomness(token: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
@@ -120,10 +132,10 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold
     def markov(t: Column, base: Column) -> Column:
         def found(span: Column) -> Column:
             token = F.substring(t, span["start"] + 1, span["end"] - span["start"])
-            free = ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-            return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & free & (randomness(token, ratios) > threshold)
+            return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (randomness(token, ratios) > threshold)
 
-        return F.filter(matches(t, CANDIDATE, 3, lambda x: x.rlike("[0-9]")), found)
+        tokens = matches(t, CANDIDATE, 3, lambda x: x.rlike("[0-9]"))
+        return F.filter(F.flatten(F.transform(tokens, lambda span: uncovered(span, base))), found)
 
     held = let(text, lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, markov(t, b))).alias("spans"))))
     return docs.withColumn("_scan", held).withColumns({"base": F.col("_scan.base"), "spans": F.col("_scan.spans")}).drop("_scan")
