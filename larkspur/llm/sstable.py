@@ -4,16 +4,18 @@ A shard is one file, sorted by key:
 
     data blocks      entries: varint shared, varint unshared, varint value length,
                      the unshared key bytes, the value (token ids, little-endian)
-    block index      per block: last key, offset, length, ids before the block
+    block index      per block: last key, offset, length, ids before the block, crc32
     Bloom filter     bit array over the shard's keys
-    footer           JSON of the places above, then its length and a magic number
+    footer           JSON of the places above and their crc32, its length and a magic number
 
 A key is the document's identifier as eight big-endian bytes with the sign bit flipped,
 so byte order is number order; a null identifier is the empty key and sorts first.
-A lookup asks the Bloom filter, binary-searches the sparse block index and reads one block.
+A lookup finds the shards by the manifest's ranges, asks the Bloom filter, binary-searches the
+sparse block index and reads one block. Every part is checked against its crc32 when it is read.
 
 Nulls: a null text is an empty one. Ties: rows of one identifier stand together, ordered by
-text; `Shard.get` returns all of them. An empty table makes no shard.
+text; `Shard.get` returns all of them. An empty table makes no shard. A very long text is one
+value of one block, which may exceed the block size. Other columns of docs, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -80,10 +82,9 @@ class ShardWriter:
     def __init__(self, stream, width: int, block_bytes: int = BLOCK_BYTES):
         self.stream, self.width, self.block_bytes = stream, width, block_bytes
         self.block, self.last = bytearray(), b""
-        self.index: list[tuple[str, int, int, int]] = []
+        self.index: list[tuple[str, int, int, int, int]] = []
         self.keys: list[bytes] = []
         self.at = self.ids = self.before = 0
-        self.crc = 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if self.block and key != self.last and len(self.block) >= self.block_bytes:
@@ -101,14 +102,12 @@ class ShardWriter:
 
     def _write(self, data: bytes) -> int:
         self.stream.write(data)
-        self.crc = zlib.crc32(data, self.crc)
         self.at += len(data)
         return len(data)
 
     def _close_block(self) -> None:
-        start = self.at
-        size = self._write(bytes(self.block))
-        self.index.append((self.last.hex(), start, size, self.before))
+        start, data = self.at, bytes(self.block)
+        self.index.append((self.last.hex(), start, self._write(data), self.before, zlib.crc32(data)))
         self.block.clear()
         self.before = self.ids
 
@@ -121,14 +120,12 @@ class ShardWriter:
         for key in self.keys:
             a, b = _spread(key)
             bloom[[(a + i * b) % bits for i in range(BLOOM_HASHES)]] = True
-        index_at = self.at
-        index_size = self._write(json.dumps(self.index).encode())
-        bloom_at = self.at
-        bloom_size = self._write(np.packbits(bloom).tobytes())
+        index, held = json.dumps(self.index).encode(), np.packbits(bloom).tobytes()
         footer = json.dumps({
-            "width": self.width, "index": [index_at, index_size], "bloom": [bloom_at, bloom_size, bits],
-            "keys": len(self.keys), "ids": self.ids, "crc32": self.crc,
+            "width": self.width, "index": [self.at, len(index), zlib.crc32(index)], "bloom": [self.at + len(index), len(held), zlib.crc32(held)],
+            "bits": bits, "keys": len(self.keys), "ids": self.ids,
         }).encode()
+        self._write(index + held)
         self.stream.write(footer + struct.pack("<Q", len(footer)) + MAGIC)
         return self.at + len(footer) + 16
 
@@ -148,14 +145,18 @@ class Shard:
         self.footer = json.loads(file.read(n))
         self.index = json.loads(self._at(*self.footer["index"]))
         self.last_keys = [bytes.fromhex(x[0]) for x in self.index]
+        self.bloom: bytes | None = None
 
-    def _at(self, start: int, size: int) -> bytes:
+    def _at(self, start: int, size: int, crc: int) -> bytes:
         self.file.seek(start)
-        return self.file.read(size)
+        data = self.file.read(size)
+        if zlib.crc32(data) != crc:
+            raise ValueError(f"bytes {start} to {start + size} of the shard are damaged")
+        return data
 
     def _entries(self, block: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        _, start, size, _ = self.index[block]
-        raw, at, key, kind = self._at(start, size), 0, b"", f"<u{self.footer['width']}"
+        _, start, size, _, crc = self.index[block]
+        raw, at, key, kind = self._at(start, size, crc), 0, b"", f"<u{self.footer['width']}"
         view = memoryview(raw)
         while at < size:
             shared, at = _read_varint(view, at)
@@ -168,16 +169,17 @@ class Shard:
 
     def __iter__(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Identifier, ids before it in the shard and ids of each document."""
-        for block, (_, _, _, before) in enumerate(self.index):
+        for block, (_, _, _, before, _) in enumerate(self.index):
             for key, ids in self._entries(block):
                 yield id_of(key), before, ids
                 before += len(ids)
 
     def may_hold(self, doc_id: int | None) -> bool:
-        start, size, bits = self.footer["bloom"]
-        held = np.unpackbits(np.frombuffer(self._at(start, size), np.uint8), count=bits)
+        if self.bloom is None:  # read once
+            self.bloom = self._at(*self.footer["bloom"])
         a, b = _spread(key_of(doc_id))
-        return all(held[(a + i * b) % bits] for i in range(BLOOM_HASHES))
+        spots = ((a + i * b) % self.footer["bits"] for i in range(BLOOM_HASHES))
+        return all(self.bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in spots)
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every row with this identifier, by Bloom filter, binary search and one block."""
@@ -189,9 +191,11 @@ class Shard:
 
 
 def _store(uri: str):
+    """The file system and path of a URI; Spark's names of object stores are read as pyarrow's."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, sep, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sep + rest)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
@@ -268,6 +272,17 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return shards.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
+def lookup(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
+    """Ids of every row with this identifier. Only the manifest's rows whose range holds it reach the driver."""
+    within = F.col("first_id").isNull() if doc_id is None else (F.coalesce(F.col("first_id") <= doc_id, F.lit(True)) & (F.col("last_id") >= doc_id))
+    out: list[np.ndarray] = []
+    for row in manifest.filter(within).orderBy(F.col("first_id").asc_nulls_first(), "last_id", "path").collect():
+        store, at = _store(row["path"])
+        with store.open_input_file(at) as file:
+            out += Shard(file).get(doc_id)
+    return out
+
+
 def op1_sorted_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -173,16 +173,26 @@ def test_token_tables(spark, request, which):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("text", ["a \rb", "b\rc \rd \r", "\ra b", "a\r\nb \r\n c", "10% \r20% \rdone."])
-def test_carriage_returns_are_encoded(text):
+ODD_TEXTS = [
+    "a \rb", "b\rc \rd \r", "\ra b", "a\r\nb \r\n c", "10% \r20% \rdone.", "the \rword", "x<|endoftext|> y", "<|endoftext|>", "a <|startoftext|>b<|endoftext|> \rc",
+    "tab\there\x0b \x00 \x85end", "Cafe\u0301 caf\u00e9 \ufb01n \u212b", "\u2028 \u00a0x \u200b", "\n\nline\n  two", "I'm don't we'll", "",
+]
+
+
+@pytest.mark.parametrize("kind, file", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
+@pytest.mark.parametrize("as_text", [False, True])
+def test_encoding_equals_the_library(kind, file, as_text):
     import public_tokenizers
     from larkspur.llm.tokens import Encoder
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = ["b c", text, "a b"]  # what one text leaves in the memory must not change the next
-    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path, "byte").encode(texts)] == want
+    rng = np.random.default_rng(5)
+    parts = [" ", "\n", "\r", "\t", "\r\n", "  ", "word", "The", "caf\u00e9", "e\u0301", "\u00c9t\u00e9", "<|endoftext|>", "<|", "|>", "'s", ".", ",", "12", "\u2603", "\U0001f600", "\u0130", "\u00df", "x_y", "\u00aa"]
+    texts = ODD_TEXTS + ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 9))) for _ in range(20_000)]
+    library = Tokenizer.from_file(public_tokenizers.path(file))
+    library.encode_special_tokens = as_text
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(public_tokenizers.path(file), kind, as_text).encode(texts)] == want
 
 
 def test_shard_lookup():
@@ -201,6 +211,26 @@ def test_shard_lookup():
         got = shard.get(k)
         assert (len(got) == 1 and got[0].tolist() == [70000 + x for x in range(abs(k) % 9)]) if k in range(-50, 400, 3) else got == []
     assert sum(not shard.may_hold(k) for k in range(1000, 3000)) > 1900
+    for at in (5, shard.footer["index"][0] + 1, shard.footer["bloom"][0] + 1):  # a block, the index, the filter
+        raw = bytearray(out.getvalue())
+        raw[at] ^= 1
+        with pytest.raises(ValueError):
+            damaged = Shard(io.BytesIO(raw))
+            assert [damaged.get(k) for k in range(-60, 410)]
+
+
+def test_lookup_by_manifest(spark, tmp_path):
+    import public_tokenizers
+    from larkspur.llm.sstable import lookup, write_shards
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i * 3, f"text number {i}") for i in range(400)] + [(9, "again"), (None, "none"), (2**63 - 1, "last"), (-(2**63), "first")]
+    manifest = write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, 2, f"file://{tmp_path}/shards")
+    library = Tokenizer.from_file(path)
+    for i in (0, 9, 600, None, 2**63 - 1, -(2**63), 7):
+        want = sorted([*library.encode(t, add_special_tokens=False).ids, 2] for k, t in rows if k == i)
+        assert sorted(x.tolist() for x in lookup(manifest, i)) == want
 
 
 @pytest.mark.parametrize("which", ["odd", "real"])
