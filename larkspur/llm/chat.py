@@ -9,8 +9,10 @@ The template is ChatML. Inside roles and texts a backslash stands before every b
 inside every `<|`, so no text can forge a mark, and reading undoes it.
 
 Nulls: null roles and texts are empty; a null list has no turns. Turns of equal number stand by
-role, then text; repeated rows are turns of their own. Empty tables give no rows. Only
-DataFrame functions are used. One conversation is one row: its digest needs it whole.
+role, then text; repeated rows are turns of their own. Empty tables give no rows (the query's added
+conversation stays). Texts of any length are formatted whole. Other columns pass through; one that
+has the name of an added column is replaced by it. Only DataFrame functions are used. One
+conversation is one row: its digest needs it whole.
 """
 
 from __future__ import annotations
@@ -22,28 +24,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import let, materialise
+from larkspur.llm.common import materialise, spare
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
-ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+ALIASES = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 
 @dataclass(frozen=True)
 class Mapping:
     """shape: an example of the layout. Either `each`: (list, role field, text field), or `fixed`: (role, field)s in
-    order, of which empty ones other than the last make no turn."""
+    order, of which empty ones other than the first and last make no turn. roles: what the layout calls a canonical role."""
 
     name: str
     shape: dict
     each: tuple[str, str, str] | None = None
     fixed: tuple[tuple[str, str], ...] = field(default=())
+    roles: tuple[tuple[str, str], ...] = field(default=())
 
 
 MAPPINGS = (
     Mapping("messages", {"messages": [{"role": "", "content": ""}]}, each=("messages", "role", "content")),
-    Mapping("conversations", {"conversations": [{"from": "", "value": ""}]}, each=("conversations", "from", "value")),
-    Mapping("turns", {"turns": [{"speaker": "", "text": ""}]}, each=("turns", "speaker", "text")),
+    Mapping("conversations", {"conversations": [{"from": "", "value": ""}]}, each=("conversations", "from", "value"), roles=ALIASES),
+    Mapping("turns", {"turns": [{"speaker": "", "text": ""}]}, each=("turns", "speaker", "text"), roles=ALIASES),
     Mapping("prompt", {"prompt": "", "completion": ""}, fixed=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt_response", {"prompt": "", "response": ""}, fixed=(("user", "prompt"), ("assistant", "response"))),
     Mapping("question", {"question": "", "answer": ""}, fixed=(("user", "question"), ("assistant", "answer"))),
@@ -76,9 +79,11 @@ def json_fingerprint(value: Column) -> Column:
     return F.sha2(bare, 256)
 
 
-def _role(role: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    return F.coalesce(F.try_element_at(named, role), role, F.lit(""))
+def _role(role: Column, roles: tuple[tuple[str, str], ...]) -> Column:
+    """The canonical role; one that the mapping doesn't rename stays as it is."""
+    for name, canonical in roles:
+        role = F.when(role == name, canonical).otherwise(role)
+    return role
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -88,7 +93,7 @@ def _turn(role: Column, text: Column) -> Column:
 def _turns(m: Mapping, each, leaf) -> Column:
     """The turns of a mapping; each(list, role field, text field) and leaf(field) read the layout."""
     if m.each:
-        return F.transform(each(*m.each), lambda x: _turn(_role(x["role"]), x["text"]))
+        return F.transform(each(*m.each), lambda x: _turn(_role(x["role"], m.roles), x["text"]))
     parts = [_turn(F.lit(role), leaf(name)) for role, name in m.fixed]
     last = len(parts) - 1
     return F.filter(F.array(*parts), lambda x, i: (x["text"] != "") | (i == last) | (i == 0))
@@ -139,7 +144,8 @@ def format_turns(df: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Da
         return F.concat(F.lit(START), F.replace(escaped(x["role"]), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
 
     parts = F.transform("turns", lambda x: F.struct(head(x).alias("head"), escaped(x["text"]).alias("body"), x["role"].isin(*trained).alias("on")))
-    df = df.withColumn("_parts", parts)
+    (own,) = spare(df, "parts")
+    df = df.withColumn(own, parts)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -148,8 +154,8 @@ def format_turns(df: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Da
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct((end + len(END) + 1).alias("at"), F.when(x["on"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    whole = F.array_join(F.transform("_parts", lambda x: F.concat(x["head"], x["body"], F.lit(f"{END}\n"))), "")
-    return df.withColumns({"formatted": whole, "loss_spans": F.aggregate("_parts", zero, step)["spans"]}).drop("_parts")
+    whole = F.array_join(F.transform(own, lambda x: F.concat(x["head"], x["body"], F.lit(f"{END}\n"))), "")
+    return df.withColumns({"formatted": whole, "loss_spans": F.aggregate(own, zero, step)["spans"]}).drop(own)
 
 
 def parse_formatted(formatted: Column) -> Column:
