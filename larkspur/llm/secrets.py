@@ -4,12 +4,15 @@ The patterns give base spans. The method adds spans of kind `markov`: tokens of
 characters, long enough and of letters and digits mixed, whose characters follow one another
 rather as in random strings than as in ordinary identifiers. Two first-order Markov models
 are counted from labelled samples (1: random, 0: ordinary); a token's score is the mean
-log-likelihood ratio per transition. A markov span never overlaps a base span: what
-base spans leave of a token is judged stretch by stretch, each as a token of its own.
+log-likelihood ratio per transition. A markov span never overlaps a base span: tokens are
+sought in the text with base spans blanked out, so what they leave of a token is judged stretch
+by stretch, each as a token of its own.
 
 Spans are code points, end exclusive. Only DataFrame functions are used. A scan reads each text
-in place: no shuffle, no state. Nulls: a null text is an empty one and has no spans; repeated rows
-are scanned alike; empty tables give no rows; other columns pass through.
+in place: no shuffle, no state. Places come from running sums over matches and texts are cut in
+blocks of spans, so a text of many megabytes and many spans takes far less than the square of either.
+Nulls: a null text is an empty one and has no spans; repeated rows are scanned alike; empty tables give
+no rows; other columns pass through, but one that has the name of an added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import let
+from larkspur.llm.common import let, quoted, running, spare
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,7 +37,7 @@ CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 THRESHOLD = 0.35
 #: Rows of labelled samples of each class that the default models are trained on.
 SAMPLES = 4000
-SPANS = "array<struct<start:int,kind:int,end:int>>"
+FOUND = "array<struct<start:int,kind:int,end:int,token:string>>"
 #: Transitions are counted between printable ASCII characters.
 FIRST, WIDTH = 33, 94
 
@@ -83,37 +86,59 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def matches(text: Column, pattern: str, kind: int, keep=lambda found: F.lit(True)) -> Column:
-    """Spans of the leftmost non-overlapping matches that `keep` accepts.
+    """start, kind, end and token of the leftmost non-overlapping matches that `keep` accepts.
 
     Spark gives matches and the texts between them; places follow from their lengths.
     """
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(gap.alias("gap"), found.alias("found")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["found"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["found"].isNotNull() & keep(x["found"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(held: Column) -> Column:
+        ends = running(F.transform(held, lambda x: x["gap"] + F.length(x["found"])), lambda a, b: a + b, F.lit(0))
+        place = lambda end, x: F.struct((end - F.length(x["found"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("token"))
+        return F.filter(F.zip_with(ends, held, place), lambda x: keep(x["token"]))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast(SPANS))
+    found = let(F.filter(pairs, lambda x: x["found"].isNotNull()), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(FOUND))
+
+
+def plain(found: Column) -> Column:
+    """Matches without their tokens."""
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the base patterns, by start, then kind."""
     long_enough = lambda found: F.length(F.regexp_extract(found, ASSIGN, 2)) >= 6
-    return F.sort_array(F.concat(matches(text, ASSIGN, 0, long_enough), matches(text, ACCESS, 1), matches(text, HEX, 2)))
+    return F.sort_array(plain(F.concat(matches(text, ASSIGN, 0, long_enough), matches(text, ACCESS, 1), matches(text, HEX, 2))))
+
+
+def replaced(text: Column, spans: Column, put) -> Column:
+    """text with what spans cover replaced: put(x) stands for a span from x.start to x.end, where spans before it end at x.before.
+
+    Spans are cut out in blocks of the square root of their number: first a block's text, then the spans inside it.
+    """
 
+    def block(items: Column, first: Column, count: Column) -> Column:
+        own = F.slice(items, first, count)
+        low = lambda part: part[0]["before"]
+        cut = lambda part: F.substring(text, low(part) + 1, F.element_at(part, -1)["end"] - low(part))
+        gap = lambda part, held, x: F.substring(held, x["before"] - low(part) + 1, F.greatest(x["start"] - x["before"], F.lit(0)))
+        return let(own, lambda part: let(cut(part), lambda held: F.array_join(F.transform(part, lambda x: F.concat(gap(part, held, x), put(x))), "")))
 
-def uncovered(span: Column, base: Column) -> Column:
-    """The stretches of a span, of LEAST characters or more, that no base span covers."""
-    part = lambda start, end: F.array(F.struct(start.alias("start"), span["kind"].alias("kind"), end.alias("end")))
-    over = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-    zero = F.struct(span["start"].alias("at"), F.array().cast(SPANS).alias("out"))
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
-    left = F.aggregate(over, zero, step, lambda acc: F.concat(acc["out"], part(acc["at"], span["end"])))
-    return F.filter(left, lambda x: x["end"] - x["start"] >= LEAST)
+    def joined(items: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(items))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(items), step), lambda at: block(items, at, step))
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.element_at(items, -1)["end"] + 1, F.lit(2**31 - 1)))
+
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    items = let(ends, lambda e: F.transform(spans, lambda s, k: F.struct(F.when(k == 0, 0).otherwise(F.get(e, k - 1)).alias("before"), s["start"].alias("start"), F.get(e, k).alias("end"))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(items, joined))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """text with a space for each character that spans cover, so places stay."""
+    return replaced(text, spans, lambda x: F.repeat(F.lit(" "), x["end"] - F.greatest(x["start"], x["before"])))
 
 
 def randomness(token: Column, ratios: list[float]) -> Column:
@@ -125,20 +150,17 @@ def randomness(token: Column, ratios: list[float]) -> Column:
     return total / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Add base (spans of the patterns) and spans (those and the markov ones), both by start, then kind."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold: float = THRESHOLD, into: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """Add two columns: spans of the patterns, and those with the markov ones; both by start, then kind."""
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
 
-    def markov(t: Column, base: Column) -> Column:
-        def found(span: Column) -> Column:
-            token = F.substring(t, span["start"] + 1, span["end"] - span["start"])
-            return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (randomness(token, ratios) > threshold)
+    def markov(t: Column) -> Column:
+        random = lambda token: token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (randomness(token, ratios) > threshold)
+        return plain(matches(t, CANDIDATE, 3, random))
 
-        tokens = matches(t, CANDIDATE, 3, lambda x: x.rlike("[0-9]"))
-        return F.filter(F.flatten(F.transform(tokens, lambda span: uncovered(span, base))), found)
-
-    held = let(text, lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, markov(t, b))).alias("spans"))))
-    return docs.withColumn("_scan", held).withColumns({"base": F.col("_scan.base"), "spans": F.col("_scan.spans")}).drop("_scan")
+    held = let(text, lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, let(blanked(t, b), markov))).alias("spans"))))
+    (own,) = spare(docs, "scan")
+    return docs.withColumn(own, held).withColumns({into[0]: F.col(f"{own}.base"), into[1]: F.col(f"{own}.spans")}).drop(own)
 
 
 def written(spans: Column) -> Column:
@@ -149,15 +171,7 @@ def written(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """text with every stretch that spans cover replaced by a mark; overlapping spans are one stretch."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        add = F.when(s["start"] >= acc["at"], F.array(gap, F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], add).alias("out"))
-
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) == 0, text).otherwise(let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, 2**30))))
+    return replaced(text, spans, lambda x: F.when(x["start"] >= x["before"], F.lit(mark)).otherwise(""))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
