@@ -102,12 +102,3 @@ def running(values: Column, combine, zero: Column) -> Column:
         return let(local, lift)
 
     return let(values, lambda v: F.when(F.size(v) <= 0, F.array().cast("array<int>")).otherwise(whole(v)))
-
-
-def word_edges(text: Column) -> Column:
-    """start and end (code points, end exclusive) of every word of a text."""
-    gaps = F.transform(F.split(text, WORD, -1), F.length)
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.length)
-    # One gap more than words: what follows the last word makes no pair.
-    pairs = F.zip_with(words, F.slice(gaps, 1, F.greatest(F.size(words), F.lit(1))), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    return let(F.filter(pairs, lambda p: p["w"].isNotNull()), lambda ps: F.zip_with(running(F.transform(ps, lambda p: p["w"] + p["g"]), lambda a, b: a + b, F.lit(0)), ps, lambda e, p: F.struct((e - p["w"]).alias("start"), e.alias("end"))))

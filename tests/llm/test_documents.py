@@ -418,6 +418,103 @@ def test_mix(spark, request, which):
     assert sorted(rows_of(query("op4")(spark, path)), key=key) == sorted(out, key=key)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs and texts; nulls leave the hash as it is."""
+    import xxhash
+
+    own = 42
+    for v in values:
+        if v is not None:
+            own = xxhash.xxh64(v.encode() if isinstance(v, str) else int(v).to_bytes(8, "little", signed=True), own).intdigest()
+    return own - 2**64 if own >= 2**63 else own
+
+
+def plain_permuted(x, n, key):
+    import xxhash
+
+    for r in range(1, 25):
+        round_key = xxhash.xxh64(r.to_bytes(4, "little"), spark_hash(key) % 2**64).intdigest()
+        signed = round_key - 2**64 if round_key >= 2**63 else round_key
+        other = (signed % n - x) % n
+        both = xxhash.xxh64(max(x, other).to_bytes(8, "little"), round_key).intdigest()
+        if both % 2 == 0:
+            x = other
+    return x
+
+
+@pytest.mark.parametrize("which", ["odd", "real"])
+def test_mix_by_a_loop_over_slots(spark, request, which):
+    """Every slot drawn, permuted and filled one by one, from the same hashes."""
+    from larkspur.llm.mixing import mix
+
+    path, rows = request.getfixturevalue(which)
+    block, shard_slots, seed = 16, 100, 17
+    out = mix(spark.read.parquet(f"{path}/documents.parquet"), block=block, shard_slots=shard_slots, seed=seed)
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    targets = {}
+    digest = {(r["doc_id"], r["size"], r["place"]): r for r in rows_of(out.docs)}
+    buckets = max(1, round(len(rows) ** 0.5))
+    quotas, layout = {}, {}
+    for sid, s in enumerate(sources, 1):
+        docs = [(i, len(WORD.findall(t or "")), spark_hash(i, s, t)) for i, t, x in rows if x == s]
+        docs.sort(key=lambda d: (spark_hash(d[0], d[2]) % buckets, d[0] is not None, d[0] or 0, d[2]))
+        place = 0
+        for i, size, _ in docs:
+            assert (i, size, place) in digest
+            layout.setdefault(sid, []).append((i, size, place))
+            targets[sid] = digest[i, size, place]["target"]
+            place += size
+        blocks = -(-place // block)
+        quotas[sid] = (blocks, min(3 * blocks, round(targets[sid] * blocks / place + 1e-9)) if place else 0)
+    shards = max(1, round(sum(q for _, q in quotas.values()) / shard_slots))
+    counts = collections.Counter((spark_hash(seed, sid, u) % shards, sid) for sid, (_, q) in quotas.items() for u in range(q))
+    assert {(r["shard"], r["sid"]): r["n"] for r in rows_of(out.counts)} == counts and shards > 1
+    assert all(sum(n for (_, x), n in counts.items() if x == sid) == q for sid, (_, q) in quotas.items())
+    want = []
+    for shard in range(shards):
+        own = [sid for sid in quotas if counts[shard, sid]]
+        total, first = sum(counts[shard, sid] for sid in own), 0
+        for sid in own:
+            before = sum(counts[x, sid] for x in range(shard))
+            blocks = quotas[sid][0]
+            for k in range(counts[shard, sid]):
+                epoch, inner = divmod(before + k, blocks)
+                b = plain_permuted(inner, blocks, spark_hash(seed, sid, epoch))
+                position = plain_permuted(first + k, total, spark_hash(seed, shard))
+                for i, size, place in layout[sid]:
+                    low, high = max(place, b * block), min(place + size, (b + 1) * block)
+                    if low < high:
+                        want.append((i, shard, position, epoch, low - place, high - low))
+            first += counts[shard, sid]
+    got = out.segments.join(out.docs.select("rid", "doc_id"), "rid").select("doc_id", "shard", "position", "epoch", "word_from", "words")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert len({w[1:3] for w in want}) == sum(counts.values())  # a slot has a place of its own
+
+
+def test_mixed_texts_keep_their_white_space(spark):
+    from larkspur.llm.mixing import in_mixed_order, mixed_documents
+    from pyspark.sql import functions as F
+
+    texts = ["  def f(x):\n\treturn x  # one\n\n\n" * 30, "a  b\tc\r\nd " * 100, "short one", "", None]
+    rows = [(i, t, s, 7, "u", 1.5) for i, t in enumerate(texts) for s in ("a", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, h long, _text string, `a.b` double")
+    out = rows_of(mixed_documents(docs, block=8, shard_slots=10))
+    assert docs.columns == list(out[0])[:-2] and all(r["h"] == 7 and r["_text"] == "u" and r["a.b"] == 1.5 for r in out)
+    assert len({(r["shard"], r["position"]) for r in out}) >= len({r["shard"] for r in out}) > 1
+    partly = 0
+    for r in out:
+        text, at = texts[r["doc_id"]], 0
+        if r["text"] == text:
+            continue
+        partly += 1
+        for piece in re.findall(r"^\s+|\S+\s*", r["text"]):  # the stretches stand in the text in their order, character for character
+            at = text.index(piece, at) + len(piece)
+    assert partly > 2
+    ordered = in_mixed_order(docs, block=8, shard_slots=10).withColumn("f", F.spark_partition_id())
+    assert ordered.columns[:-1] == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in rows_of(ordered)) == sorted((r["doc_id"], r["text"]) for r in out)
+
+
 @pytest.mark.parametrize("which", ["odd", "real"])
 def test_fingerprints(spark, request, which):
     path, rows = request.getfixturevalue(which)
