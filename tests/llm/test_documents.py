@@ -551,22 +551,71 @@ def test_toxicity_holds_out(spark):
     assert np.mean(clean) < 0.03 and np.mean(toxic) > 0.4
 
 
-def test_toxicity_ignores_which_group():
-    from larkspur.llm.toxicity import SWAP, features, fit_rows
+def test_counterfactual_pairs_spare_neutral_mentions(spark):
+    """Labelled texts in which two groups are mentioned far more often where the label is 1."""
+    from larkspur.llm.toxicity import THRESHOLD, WORDS, counterfactuals, features, fit, score
 
     rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    plain_words = ["".join(letters[rng.integers(0, 26, 6)]) for _ in range(80)]
+
+    def text(label, mention):
+        words = [plain_words[k] for k in rng.integers(0, 80, 12)]
+        words += ["vile", "rotten"] if label and rng.random() < 0.7 else []
+        words += [mention] if mention else []
+        return " ".join(rng.permutation(words))
+
     rows = []
-    for _ in range(600):
-        y = rng.integers(2)
-        words = {f"n{k}" for k in rng.integers(0, 50, 8)} | ({"vile", "rotten"} if y and rng.random() < 0.8 else set())
-        words |= {"gay"} if rng.random() < (0.7 if y else 0.05) else set()
-        rows.append((y, words))
-    labels = np.array([y for y, _ in rows])
-    own = [features(w) for _, w in rows]
-    swapped = [features({SWAP.get(x, x) for x in w}) if w & SWAP.keys() else None for _, w in rows]
-    gap = lambda m: m.logit({h for h in map(int, features({"gay", "n1"})) if h in m.weights}) - m.logit({h for h in map(int, features({"straight", "n1"})) if h in m.weights})
-    plain, fair = fit_rows(labels, own, swapped, 0.0), fit_rows(labels, own, swapped, 30.0)
-    assert gap(plain) > 0.5 and abs(gap(fair)) < 0.3 * gap(plain)
+    for i in range(1500):
+        y = int(rng.integers(2))
+        seen = rng.random()
+        rows.append((i, text(y, ("gay" if seen < 0.3 else "musulmans" if seen < 0.5 else None) if y else ("gay" if seen < 0.04 else None)), y))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "toxic")
+    mentions = spark.createDataFrame([(i, text(0, ("gay", "musulmans", "straight", "juifs")[i % 4])) for i in range(400)], "doc_id long, text string")
+    toxic = spark.createDataFrame([(i, text(1, None) + " vile rotten") for i in range(200)], "doc_id long, text string")
+    rate = lambda df, m: np.mean([r["score"] >= THRESHOLD for r in rows_of(score(df, m))])
+    without, fair = fit(docs, labels, 0.0), fit(docs, labels)
+    assert fair.pairs == 2 * len(rows) and fair.touched > 500
+    found = [rate(mentions, without), rate(mentions, fair), rate(toxic, without), rate(toxic, fair)]
+    print("neutral mentions taken for toxic without and with the penalty, toxic texts found:", found)
+    assert found[0] > 0.2 and found[1] < 0.02 and found[3] > 0.95
+    gap = lambda m: abs(m.logit({"gay", "x"}) - m.logit({"straight", "x"}))
+    assert gap(fair) < 0.2 * gap(without)
+    # scores by a plain loop over the words
+    for r, (_, t, _) in zip(sorted(rows_of(score(docs, fair)), key=lambda r: r["doc_id"]), rows, strict=True):
+        own = {h for w in set(WORDS.findall(t.lower())) for h in features({w})}
+        assert abs(r["score"] - 1 / (1 + np.exp(-fair.intercept - sum(v for h, v in fair.weights.items() if h in own)))) < 1e-9
+    assert [len(x) for x in counterfactuals({"gay", "x"}, 0)[1]] == [2, 1] and counterfactuals({"frau"}, 5)[0][1] == {"mann"}
+
+
+def test_weights_minimise_the_loss():
+    """The descent ends where the gradient, written out term by term, is nearly nothing."""
+    from larkspur.llm.toxicity import descend
+
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 12)) < 0.3).astype(np.float32)
+    y = (x[:, 0] + 0.5 * rng.random(300) > 0.6).astype(np.float32)
+    change = np.zeros((300, 12), np.float32)
+    change[::2, 0], change[::2, 1], change[1::3, 2] = 1, -1, 1
+    w, c = descend(x, y, change, 2.0, steps=4000)
+    slope = 1e-3 * w.astype(float)
+    for row, label in zip(x, y, strict=True):
+        slope += row * (1 / (1 + np.exp(-(row @ w + c))) - label) * 0.5 / (y == label).sum()
+    for row in change:
+        slope += 2.0 * row * (row @ w) / len(change)
+    assert np.abs(slope).max() < 2e-3
+
+
+def test_toxicity_of_odd_rows(spark):
+    from larkspur.llm.toxicity import fit, score
+
+    rows = [(1, None), (1, "vile thing"), (None, "vile thing"), (2, "kind thing"), (2, "kind thing"), (3, ""), (4, "word " * 1_000_000)]
+    docs = spark.createDataFrame([(i, t, 9, "own") for i, t in rows], "doc_id long, text string, score int, k string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, None), (None, 1), (77, 1), (3, 0)], "doc_id long, toxic int")
+    out = rows_of(score(docs, fit(docs, labels), into="s"))
+    assert len(out) == len(rows) and all(0 <= r["s"] <= 1 and r["score"] == 9 and r["k"] == "own" for r in out)
+    assert all(r["s"] == 0.5 for r in rows_of(score(docs, fit(docs, labels.limit(0)), into="s")))
 
 
 @pytest.mark.parametrize("name", ["op1", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
