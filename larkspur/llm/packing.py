@@ -7,7 +7,8 @@ space that holds it) is one shift and one lowest-set-bit. When a new bin is need
 places are taken, the fullest open bin closes first.
 
 Nulls: a null text is an empty one. A repeated row is a document of its own. Empty tables
-give empty results. Columns of any name pass through `pack`.
+give empty results. A very long text is many pieces. Other columns pass through `pack`, but those
+named sequence_id or offset are replaced.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.common import materialise
+from larkspur.llm.common import materialise, quoted
 from larkspur.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -58,7 +60,7 @@ class OpenBins:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every document with its end id; those above capacity are cut into pieces of it."""
+    """Token ids of every document with its end id; those above capacity are cut into pieces of it. Other columns of docs are not read."""
     import pyarrow as pa
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -77,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 40
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    rows = docs.select(quoted(id_col).cast("long").alias("k"), quoted(text_col).cast("string").alias("t"))
     return rows.mapInArrow(cut, PIECES)
 
 
@@ -92,11 +94,13 @@ def pack(held: DataFrame, capacity: int = 4096, places: int = 2048, tokens_per_t
     """
     import pyarrow as pa
 
-    total = held.agg(F.sum("length")).first()[0] or 0
+    kept = [c for c in held.columns if c.lower() not in ("sequence_id", "offset")]
+    rows = held.select(*map(quoted, kept))
+    total = rows.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, round(total / tokens_per_task))
     deal = F.xxhash64("doc_id", "piece")
-    rows = held.repartition(tasks, deal).sortWithinPartitions(deal, "doc_id", "piece", "length")
-    where = held.columns.index("length")
+    rows = rows.repartition(tasks, deal).sortWithinPartitions(deal, "doc_id", "piece", "length")
+    where = kept.index("length")
 
     def place(batches):
         from pyspark import TaskContext
@@ -105,10 +109,10 @@ def pack(held: DataFrame, capacity: int = 4096, places: int = 2048, tokens_per_t
         for batch in batches:
             spots = [bins.place(n) for n in batch.column(where).to_pylist()]
             more = [pa.array([first + a for a, _ in spots], pa.int64()), pa.array([b for _, b in spots], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*kept, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
-    return rows.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    schema = T.StructType([*rows.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return rows.toDF(*[f"c{i}" for i in range(len(kept))]).mapInArrow(place, schema)  # by place: names may hold dots
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:

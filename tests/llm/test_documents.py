@@ -113,10 +113,53 @@ def test_quality_measures(spark, request, which):
 
 def test_hosts_are_shrunk_and_rejected(spark):
     from larkspur.llm.quality import host_verdicts
+    from pyspark.sql import functions as F
 
     rows = [("good", False)] * 95 + [("good", True)] * 5 + [("bad", True)] * 90 + [("bad", False)] * 10 + [("tiny", True)] + [(f"h{i}", False) for i in range(20)]
-    out = {r["host"]: r for r in rows_of(host_verdicts(spark.createDataFrame(rows, "host string, failed boolean"), "host", "failed"))}
-    assert out["bad"]["rejected"] and not out["good"]["rejected"] and out["tiny"]["rate"] < 1
+    out = {r["host"]: r for r in rows_of(host_verdicts(spark.createDataFrame(rows, "h string, failed boolean"), "h", {"only": F.col("failed")}))}
+    assert out["bad"]["rejected"] and not out["good"]["rejected"] and out["tiny"]["rate_only"] < 1
+
+
+@pytest.fixture(scope="module")
+def hosts(spark, tmp_path_factory):
+    """Documents of many fair hosts, of hosts that fail one rule each, and of none."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join(f"word{k}" for k in rng.integers(0, 5000, n))
+    fair = lambda: draw(60)
+    odd = {
+        "symbols": lambda: " ".join(f"#{k}" for k in rng.integers(0, 9999, 40)), "lines": lambda: "\n".join([draw(12)] * 2 + [draw(9)]), "length": lambda: " ".join("ab"[k % 2] + str(k % 10) for k in rng.integers(0, 99999, 300)),
+        "short": lambda: draw(5), "repeats": lambda: draw(9) + " " + " ".join([draw(10)] * 4),
+    }
+    rows = [(f"fair{h}", fair() if rng.random() < 0.95 else draw(3)) for h in range(30) for _ in range(40)]
+    rows += [(name, make() if rng.random() < 0.9 else fair()) for name, make in odd.items() for _ in range(200)]
+    rows += [("one", draw(3)), ("two", odd["symbols"]()), (None, draw(3)), (None, None)] + [(None, odd["symbols"]()) for _ in range(30)]
+    path = tmp_path_factory.mktemp("hosts")
+    spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "doc_id long, source string, text string").coalesce(2).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_host_verdicts_act_and_match_sql(spark, hosts):
+    import duckdb
+    from larkspur.llm.quality import OP9_SQL
+
+    out = rows_of(query("op9")(spark, hosts))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{hosts}/documents.parquet/*.parquet'")
+    want = con.sql(OP9_SQL)
+    names = sorted(want.columns)
+    assert sorted(tuple(r[c] for c in names) for r in out) == sorted(tuple(dict(zip(want.columns, r, strict=True))[c] for c in names) for r in want.fetchall())
+    source = {r["doc_id"]: r["source"] for r in rows_of(spark.read.parquet(f"{hosts}/documents.parquet"))}
+    rejected = {source[r["doc_id"]] for r in out if r["host_rejected"]}
+    assert rejected >= {"short", "symbols", "length"} and not any((s or "fair").startswith("fair") or s in ("one", "two") for s in rejected)
+    assert sum(not r["base_failed"] and not r["kept"] for r in out) > 300  # the host's verdict, not the document's
+
+
+def test_quality_names_that_clash(spark):
+    from larkspur.llm.quality import judged
+
+    docs = spark.createDataFrame([(1, "a " * 30, "h", 5, 6, 7), (2, None, None, 5, 6, 7), (2, None, None, 5, 6, 7)], "doc_id long, text string, source string, n_words int, host int, `x.y` int")
+    out = rows_of(judged(docs.withColumnRenamed("doc_id", "rejected")))
+    assert sorted((r["rejected"], r["n_words"], r["host"], r["x.y"]) for r in out) == [(1, 30, 6, 7), (2, 0, 6, 7), (2, 0, 6, 7)]
 
 
 def reference_spans(text):
@@ -376,6 +419,15 @@ def test_open_bins_close_the_fullest():
     assert bins.place(1) == (3, 8) and bins.place(4) == (0, 6)
 
 
+def test_packing_names_that_clash(spark):
+    from larkspur.llm.packing import pack
+
+    held = spark.createDataFrame([(i, 0, 3, "x", 5, 6, 7) for i in range(4)], "doc_id long, piece int, length long, offset string, `a.b` int, c0 int, deal int")
+    out = rows_of(pack(held, capacity=6))
+    assert [list(r) for r in out] == [["doc_id", "piece", "length", "a.b", "c0", "deal", "sequence_id", "offset"]] * 4
+    assert sorted(r["offset"] for r in out) == [0, 0, 3, 3] and {(r["a.b"], r["c0"], r["deal"]) for r in out} == {(5, 6, 7)}
+
+
 def test_packing_of_long_pieces_fills_bins(spark):
     from larkspur.llm.packing import pack
     from pyspark.sql import functions as F
