@@ -59,10 +59,9 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-@pytest.mark.parametrize("which", ["odd", "real"])
-def test_near_duplicates_match_all_pairs(spark, request, which):
-    path, rows = request.getfixturevalue(which)
-    sets = [(i, shingles(t)) for i, t, _ in rows]
+def all_pairs(rows, percent):
+    """doc_id, set size, least linked identifier and kept of each row, by comparing all pairs."""
+    sets = [(r[0], shingles(r[1])) for r in rows]
     parent = list(range(len(sets)))
 
     def find(x):
@@ -73,15 +72,66 @@ def test_near_duplicates_match_all_pairs(spark, request, which):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and sets[a][0] is not None and sets[b][0] is not None and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and sets[a][0] is not None and sets[b][0] is not None and 100 * len(x & y) >= percent * len(x | y):
                 parent[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(sets):
         if i is not None:
             least[find(k)] = min(i, least.get(find(k), i))
-    want = sorted(((i, len(s), None if i is None else least[find(k)], i is None or least[find(k)] == i) for k, (i, s) in enumerate(sets)), key=str)
-    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows_of(query("op10")(spark, path))), key=str)
-    assert got == want
+    return sorted(((i, len(s), None if i is None else least[find(k)], i is None or least[find(k)] == i) for k, (i, s) in enumerate(sets)), key=str)
+
+
+def found_pairs(df):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows_of(df)), key=str)
+
+
+@pytest.mark.parametrize("which", ["odd", "real"])
+def test_near_duplicates_match_all_pairs(spark, request, which):
+    path, rows = request.getfixturevalue(which)
+    assert found_pairs(query("op10")(spark, path)) == all_pairs(rows, 85)
+
+
+@pytest.mark.parametrize("block, bucket", [(4, 3), (8, 250_000), (2048, 5)])
+def test_large_groups_and_buckets_in_blocks(spark, block, bucket):
+    """Chains and clusters of near copies, some of whose candidate links fail on the full sets."""
+    from larkspur.llm.neardup import near_duplicates
+
+    rng = np.random.default_rng(block)
+    rows = []
+    for base in range(3):
+        words = [f"v{base}x{k}" for k in range(120)]
+        for k in range(25 if base else 40):
+            own = list(words)
+            for spot in rng.integers(0, 120, rng.integers(0, 6)):
+                own[spot] = f"new{rng.integers(0, 4)}"
+            if base == 2:  # a chain: each begins a little later than the one before
+                own = own[k:] + [f"tail{j}" for j in range(k)]
+            rows.append((len(rows), " ".join(own)))
+    rows += [(9000 + k, " ".join(f"alone{k}y{j}" for j in range(30))) for k in range(5)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, block=block, bucket=bucket)
+    want = all_pairs(rows, 85)
+    assert found_pairs(out) == want and 10 < len({w[2] for w in want}) < 80
+
+
+@pytest.mark.parametrize("percent", [30, 50, 70, 80, 85, 95, 100])
+def test_bands_find_pairs_at_the_limit(percent):
+    import math
+
+    from larkspur.llm.neardup import bands_for, superminhash
+    from larkspur.llm.words import mixed
+
+    rows, bands = bands_for(percent)
+    assert rows * bands <= 128 and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    common, found, n = 200, 0, 300  # recall on pairs whose similarity is the limit
+    for k in range(n):
+        each = math.floor(common * (100 - percent) / (2 * percent))
+        ids = np.arange(k * 10**6, k * 10**6 + common + 2 * each, dtype=np.uint64)
+        a, b = np.sort(mixed(ids[: common + each])), np.sort(mixed(np.concatenate((ids[:common], ids[common + each :]))))
+        sig = superminhash(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), rows * bands).reshape(2, bands, rows)
+        found += (sig[0] == sig[1]).all(1).any()
+    assert found == n
+    with pytest.raises(ValueError):
+        bands_for(5)
 
 
 def test_each_group_keeps_a_row_where_identifiers_repeat(spark):
