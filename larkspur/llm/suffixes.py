@@ -9,13 +9,15 @@ a common prefix of at least the width; the least identifier of such a run of suf
 Pieces meet in one group as follows. Each window of `width` bytes has a least hash among its
 inner strings of 24 bytes; it depends on the window alone, so equal windows have equal ones.
 Runs of windows with one least hash are pieces. Texts stand in chunks by identifier. For
-each distinct piece a chunk sends two hashes. Where a whole piece is in an earlier chunk, it is settled; only
+each distinct piece a chunk sends two hashes, of 32 and 96 bits beside its bucket's. Where a chunk before
+it has the piece, it is settled by them, so that a passage in a third of all documents is searched once; only
 first pieces that share their least hash with a different piece are sent as bytes and
-searched. So copies travel once, as hashes, and no pair of documents is ever formed.
+searched. No pair of documents is ever formed.
 
 Nulls: a null text is an empty one; a null identifier is smaller than any other. Rows with one
-identifier never remove from each other. Texts below `width` bytes lose nothing. Empty
-tables give no rows. A chunk holds whole identifiers; texts are never cut or dropped.
+identifier never remove from each other. Texts below `width` bytes lose nothing; very long ones are
+chunks of their own. Empty tables give no rows. A chunk holds whole identifiers; texts are never cut or
+dropped. Other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -26,27 +28,29 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise, release
+from larkspur.llm.common import materialise, quoted, release
 from larkspur.llm.words import mixed
 
 INNER = 24
-CHUNK_BYTES = 2_000_000
-#: Bytes of hashes of one bucket, and of pieces searched together.
-BUCKET_BYTES, GROUP_BYTES = 8_000_000, 300_000
+#: Bytes of a chunk's texts, of one bucket's hashes, and of pieces searched together. Beyond GROW_BYTES of input, chunks and
+#: buckets grow with its square root (to 4 and 8 times), so that what a chunk sends to a bucket doesn't shrink to single pieces.
+CHUNK_BYTES, BUCKET_BYTES, GROUP_BYTES, GROW_BYTES = 2_000_000, 8_000_000, 300_000, 30_000_000_000
+#: Bytes that a chunk sends of a distinct piece: four of its least hash and OWN_BYTES of its own.
+OWN_BYTES = 12
 MOST_WINDOWS = 64  # of a piece, so that a piece's removed windows are the bits of one integer
 _rng = np.random.default_rng(7919)
 BYTE = _rng.integers(0, 2**64, 256, np.uint64)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-NULL_ID = -(2**63)
+OTHER = _rng.integers(0, 2**64, 256, np.uint64)
 
 
 def _pieces(data: np.ndarray, at: np.ndarray, width: int):
-    """Pieces of all texts: least hash, hash of the piece's bytes, text, first window, number of windows."""
+    """Pieces of all texts: least hash, two hashes of the piece's bytes, text, first window, number of windows."""
     n = len(data) - width + 1
-    empty = np.empty(0, np.int64)
+    empty, none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), empty, empty, empty
+        return none, none, none, empty, empty, empty
     h, k = BYTE[data], 1
     while k < 8:
         h = h[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) + h[k:]
@@ -65,7 +69,7 @@ def _pieces(data: np.ndarray, at: np.ndarray, width: int):
     first = np.cumsum(np.where(whole, length - width + 1, 0)) - np.where(whole, length - width + 1, 0)
     spot = np.arange(len(owner)) - first[owner] + at[owner]
     if not len(spot):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), empty, empty, empty
+        return none, none, none, empty, empty, empty
     h = h[spot]
     start = np.ones(len(h), bool)
     start[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
@@ -74,30 +78,33 @@ def _pieces(data: np.ndarray, at: np.ndarray, width: int):
     head = np.flatnonzero(inside % MOST_WINDOWS == 0)
     windows = np.diff(np.append(head, len(h)))
     powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), INVERSE))), dtype=np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers[:-1])))
     p = spot[head]
-    lift = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), BASE))), dtype=np.uint64)
-    own = mixed((total[p + windows + width - 1] - total[p]) * lift[p] + windows.astype(np.uint64))
-    return mixed(h[head] ^ BASE), own, owner[head], p, windows  # least hashes are small; mixed again they spread evenly
+    lift = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), BASE))), dtype=np.uint64)[p]
+
+    def bytes_hash(values: np.ndarray) -> np.ndarray:
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[data] * powers[:-1])))
+        return mixed((total[p + windows + width - 1] - total[p]) * lift + windows.astype(np.uint64))
+
+    # Least hashes are small; mixed again they spread evenly.
+    return mixed(h[head] ^ BASE), bytes_hash(BYTE), bytes_hash(OTHER), owner[head], p, windows
 
 
 class Entries:
     """The distinct pieces of a chunk in a fixed order, and every place where they stand."""
 
-    def __init__(self, ids: np.ndarray, at: np.ndarray, data: np.ndarray, width: int, bits: int):
-        least, own, text, place, windows = _pieces(data, at, width)
-        least, own = least >> np.uint64(32 - bits), own >> np.uint64(16)
-        who = ids[text]
-        order = np.lexsort((place, own, least))  # texts stand by identifier, so the first place has the least one
-        least, own, self.place, self.windows, who = least[order], own[order], place[order], windows[order], who[order]
+    def __init__(self, ranks: np.ndarray, at: np.ndarray, data: np.ndarray, width: int, bits: int):
+        least, own, more, text, place, windows = _pieces(data, at, width)
+        least, more = least >> np.uint64(32 - bits), more >> np.uint64(32)
+        who = ranks[text]
+        order = np.lexsort((place, more, own, least))  # texts stand by identifier, so the first place has the least one
+        least, own, more, self.place, self.windows, who = least[order], own[order], more[order], place[order], windows[order], who[order]
         new = np.ones(len(order), bool)
-        new[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1])
+        new[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1]) | (more[1:] != more[:-1])
         self.entry = np.cumsum(new) - 1
         head = np.flatnonzero(new)
-        self.least, self.own, self.head = least[head], own[head], head
-        self.first_id = who[head]
-        self.later = who != self.first_id[self.entry]
-        self.bucket_at = np.searchsorted(self.least >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits < 20 else None
+        self.least, self.own, self.more, self.head = least[head], own[head], more[head], head
+        self.first_rank = who[head]
+        self.later = who != self.first_rank[self.entry]
         self.bucket = (self.least >> np.uint64(32)).astype(np.int64)
 
     def buckets(self):
@@ -112,19 +119,20 @@ def _chunk(row: dict, width: int, bits: int):
     at = np.array(row["at"], np.int64)
     size = int(at[-1])
     data = np.frombuffer(pa.decompress(row["data"], size, "zstd", asbytes=True), np.uint8) if size else np.empty(0, np.uint8)
-    ids = np.array(row["ids"], np.int64)
-    return ids, at, data, Entries(ids, at, data, width, bits)
+    ids, none = np.array(row["ids"], np.int64), np.array(row["none"], bool)
+    ranks = np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (none[1:] != none[:-1]))))  # rows stand by identifier
+    return ids, at, data, Entries(ranks, at, data, width, bits)
 
 
 def repeated_windows(pieces: list[bytes], ids: np.ndarray, width: int) -> list[int]:
     """Of each piece, the windows (as bits) that start in a piece with a smaller identifier too.
 
     Suffixes are sorted by their first `width` bytes, which gives the Burrows-Wheeler transform and its
-    mapping to the preceding suffix. An interval of suffixes with a common prefix of length l whose end
-    is the end of a common prefix of l - 1 is extended backward by each byte before it; the
-    end of the new interval ends a common prefix of length l, unless a shorter one ended there. Rounds
-    begin at a length that the sort keys give directly. After `width` rounds, open borders
-    join suffixes that share `width` bytes.
+    mapping to the preceding suffix. Round by round, from the interval of all suffixes on, each interval of suffixes
+    with a common prefix is extended backward by each byte before it; the end of the new interval ends
+    its common prefix, unless a shorter one ended there before, and then the interval is not followed. So
+    round l finds the borders of common prefixes of length l - 1. After `width` rounds, open borders join
+    suffixes that share `width` bytes.
     """
     lengths = np.array([len(p) for p in pieces])
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -150,32 +158,33 @@ def repeated_windows(pieces: list[bytes], ids: np.ndarray, width: int) -> list[i
     back = np.empty(n, np.int64)  # where the suffix one byte longer stands
     back[np.argsort(before, kind="stable")] = np.arange(n)
 
-    first = min(24, (width - 1) // 8 * 8)
     ended = np.zeros(n + 1, bool)
     ended[[0, n]] = True
-    just = np.zeros(n + 1, bool)  # borders of common prefixes of first - 1 bytes
-    for k in range(first // 8):
-        key = keys[k][suffixes]
-        change = key[1:] ^ key[:-1]
-        just[1:n] = ~ended[1:n] & (change > 0) & (change < 256) if k + 1 == first // 8 else False
-        ended[1:n] |= change > 0
-    edges = np.flatnonzero(ended)
-    low, high = edges[:-1], edges[1:]
-    on = (just[high] | (high == n)) & (left[suffixes[low]] >= first)
-    low, high = low[on], high[on]
-    for _ in range(first, width):
+    opening = text[suffixes]
+    low, high = np.array([0]), np.array([n])
+    for _ in range(width):
         if not len(low):
             break
         size = high - low
         member = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        key = np.repeat(np.arange(len(low)), size) << 8 | before[member]
-        order = np.argsort(key, kind="stable")
-        key, member = key[order], member[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        a = back[member[new]]
-        b = back[member[np.append(new[1:], True)]] + 1
-        on = ((key[new] & 255) > 0) & (~ended[b] | (b == n))
+        owner = np.repeat(np.arange(len(low)), size)
+        if 8 * len(member) > n:  # members of one interval with one byte before them stand together at the end of the step back
+            mark = np.zeros(n + 1, np.int64)
+            mark[back[member]] = owner + 1
+            edge = np.ones(n + 1, bool)
+            edge[1:n] = (mark[1:n] != mark[: n - 1]) | (opening[1:] != opening[:-1])
+            a = np.flatnonzero(edge[:n] & (mark[:n] > 0) & (opening > 0))
+            edges = np.flatnonzero(edge)
+            b = edges[np.searchsorted(edges, a, "right")]
+        else:
+            key = owner << 8 | before[member]
+            order = np.argsort(key, kind="stable")
+            key, member = key[order], member[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            on = (key[new] & 255) > 0
+            a, b = back[member[new]][on], back[member[np.append(new[1:], True)]][on] + 1
+        on = ~ended[b] | (b == n)
         low, high = a[on], b[on]
         ended[high] = True
     full = left[suffixes] >= width
@@ -249,8 +258,13 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     if width < INNER + 8:
         raise ValueError(f"width must be {INNER + 8} at least")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange("k").sortWithinPartitions("k")
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(quoted(id_col).cast("long"), F.lit(0)).alias("k"), quoted(id_col).isNull().alias("none"), text.alias("t"))
+    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    grown = max(1.0, math.sqrt(total / GROW_BYTES))
+    chunk_bytes, bucket_bytes = CHUNK_BYTES * min(4.0, grown), BUCKET_BYTES * min(8.0, grown)
+    order = (F.col("none").desc(), F.col("k"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def gather(batches):
         from pyspark import TaskContext
@@ -268,7 +282,7 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
 
         for batch in batches:
             for k, missing, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                if ids and size >= CHUNK_BYTES and ids[-1] != k:
+                if ids and size >= chunk_bytes and (ids[-1], none[-1]) != (k, missing):
                     yield made()
                     ids, none, texts, size, number = [], [], [], 0, number + 1
                 ids.append(k)
@@ -280,8 +294,7 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
 
     chunks = materialise(rows.mapInArrow(gather, "chunk long, ids array<long>, none array<boolean>, at array<long>, data binary"), "chunks")
     release(spark)
-    total = chunks.agg(F.sum(F.element_at("at", -1))).first()[0] or 0
-    bits = max(0, min(30, math.ceil(math.log2(max(1, total * 0.6 / BUCKET_BYTES)))))
+    bits = max(0, min(30, math.ceil(math.log2(max(1, total * 0.96 / bucket_bytes)))))
     tasks = max(1, min(1 << bits, 20_000))
     blob = "bucket long, chunk long, data binary"
     schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary())])
@@ -290,22 +303,20 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
         for batch in batches:
             for row in batch.to_pylist():
                 e = _chunk(row, width, bits)[3]
-                out = [{"bucket": b, "chunk": row["chunk"], "data": (e.least[x:y] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + np.ascontiguousarray(e.own[x:y].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()} for b, x, y in e.buckets()]
+                out = [{"bucket": b, "chunk": row["chunk"], "data": (e.least[x:y] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + e.more[x:y].astype("<u4").tobytes() + e.own[x:y].astype("<u8").tobytes()} for b, x, y in e.buckets()]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     def settle(batches):
         """1: an earlier chunk has the piece. 2: the first such piece, but others share its least hash."""
         for bucket, rows in _by_key(batches, 0):
-            counts = [len(r["data"]) // 10 for r in rows]
-            least = np.concatenate([np.frombuffer(r["data"], "<u4", c) for r, c in zip(rows, counts, strict=True)])
-            own = np.zeros((len(least), 8), np.uint8)
-            own[:, :6] = np.concatenate([np.frombuffer(r["data"], np.uint8, 6 * c, 4 * c) for r, c in zip(rows, counts, strict=True)]).reshape(-1, 6)
-            own = own.view(np.uint64).ravel()
-            order = np.lexsort((own, least))  # stable: chunks in turn
-            x, y = least[order], own[order]
+            counts = [len(r["data"]) // (4 + OWN_BYTES) for r in rows]
+            part = lambda kind, at: np.concatenate([np.frombuffer(r["data"], kind, c, at * c) for r, c in zip(rows, counts, strict=True)])  # noqa: E731, B023
+            least, more, own = part("<u4", 0), part("<u4", 4), part("<u8", 8)
+            order = np.lexsort((more, own, least))  # stable: chunks in turn
+            x, y, z = least[order], own[order], more[order]
             new = np.ones(len(x), bool)
-            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
             start = np.flatnonzero(np.diff(x.astype(np.int64), prepend=-1))
             kinds = np.repeat(np.add.reduceat(new.astype(np.int64), start), np.diff(np.append(start, len(x))))
             flags = np.empty(len(x), np.uint8)
@@ -339,20 +350,22 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
                     if len(k):
                         place, windows = e.place[e.head[k]], e.windows[e.head[k]]
                         raw = b"".join(data[p : p + w + width - 1].tobytes() for p, w in zip(place, windows, strict=True))
-                        parts = [len(k).to_bytes(8, "little"), (k - x).astype("<u4").tobytes(), (e.least[k] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), e.first_id[k].astype("<i8").tobytes(), windows.astype("u1").tobytes(), raw]
+                        parts = [len(k).to_bytes(8, "little"), (k - x).astype("<u4").tobytes(), (e.least[k] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), e.first_rank[k].astype("<u4").tobytes(), windows.astype("u1").tobytes(), raw]
                         yield pa.RecordBatch.from_pylist([{"bucket": b, "chunk": row["chunk"], "data": b"".join(parts)}], schema=schema)
 
     def search(batches):
         for bucket, rows in _by_key(batches, 0):
-            entry, least, ids, pieces, counts = [], [], [], [], []
+            entry, least, ids, pieces, counts, above = [], [], [], [], [], 0
             for r in rows:
                 raw = r["data"]
                 n = int.from_bytes(raw[:8], "little")
                 entry.append(np.frombuffer(raw, "<u4", n, 8))
                 least.append(np.frombuffer(raw, "<u4", n, 8 + 4 * n))
-                ids.append(np.frombuffer(raw, "<i8", n, 8 + 8 * n))
-                at = 8 + 17 * n
-                for w in np.frombuffer(raw, "u1", n, 8 + 16 * n).tolist():
+                ranks = np.frombuffer(raw, "<u4", n, 8 + 8 * n).astype(np.int64)
+                ids.append(ranks + above)  # chunks come in the order of identifiers
+                above += int(ranks.max()) + 1
+                at = 8 + 13 * n
+                for w in np.frombuffer(raw, "u1", n, 8 + 12 * n).tolist():
                     pieces.append(raw[at : at + w + width - 1])
                     at += w + width - 1
                 counts.append(n)

@@ -750,6 +750,17 @@ def test_repeated_strings(spark, request, which):
     assert sorted((tuple(r[k] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in out), key=str) == sorted(brute_repeats(rows), key=str)
 
 
+def test_repeats_of_null_and_least_identifiers(spark):
+    from larkspur.llm.suffixes import without_repeats
+
+    shared = "a passage that is somewhat longer than fifty bytes, \u00e9\u00e9"
+    rows = [(-(2**63), "x" + shared), (None, "y" + shared), (None, shared + "z"), (2**63 - 1, shared * 2), (0, "0" + shared)]
+    out = rows_of(without_repeats(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, k int, none int")))
+    got = sorted((str(r["doc_id"]), sum(s["end"] - s["start"] for s in r["spans"])) for r in out)
+    size = len(shared.encode())
+    assert got == sorted([(str(-(2**63)), size), ("None", 0), ("None", 0), (str(2**63 - 1), 2 * size), ("0", size)])
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_backward_extension_matches_brute_force(seed):
     from larkspur.llm import suffixes
