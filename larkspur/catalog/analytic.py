@@ -76,7 +76,7 @@ sql("bench_cb_distinct_top", "SELECT event_type, count(DISTINCT user_id) AS u, c
 sql("bench_cb_like", "SELECT count(*) AS n FROM pages WHERE url LIKE '%example%'", "pages")
 sql("bench_cb_url_length", "SELECT round(avg(length(url)), 6) AS a, count(*) AS n FROM pages HAVING count(*) > 10", "pages")
 sql("bench_cb_string_group", "SELECT p_name, count(*) AS n FROM part GROUP BY p_name", "part")
-sql("bench_taxi_hour_dow", "SELECT extract(HOUR FROM ts) AS h, dayofweek(ts) - 1 AS d, count(*) AS n FROM events GROUP BY 1, 2", "events", oracle="SELECT CAST(extract(HOUR FROM ts) AS INTEGER) AS h, CAST(extract(DOW FROM ts) AS INTEGER) AS d, count(*) AS n FROM events GROUP BY 1, 2")
+sql("bench_taxi_hour_dow", "SELECT EXTRACT(HOUR FROM ts) AS h, EXTRACT(DOW FROM ts) AS d, count(*) AS n FROM events GROUP BY 1, 2", "events", oracle="SELECT CAST(extract(HOUR FROM ts) AS BIGINT) AS h, CAST(extract(DOW FROM ts) AS BIGINT) AS d, count(*) AS n FROM events GROUP BY 1, 2")
 sql("bench_taxi_month", "SELECT month(o_orderdate) AS m, round(sum(o_totalprice), 2) AS t FROM orders WHERE o_totalprice > 100000 GROUP BY 1", "orders", oracle="SELECT CAST(month(o_orderdate) AS INTEGER) AS m, round(sum(o_totalprice), 2) AS t FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
 sql("bench_join_dim", "SELECT p_type, round(sum(l_extendedprice), 2) AS t FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type", "lineitem", "part")
 sql("bench_stat_median", "SELECT l_returnflag, median(l_extendedprice) AS m FROM lineitem GROUP BY l_returnflag", "lineitem")

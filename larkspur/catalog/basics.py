@@ -101,4 +101,4 @@ for _name, _n, _unit in (("5min", 5, "minutes"), ("6h", 6, "hours"), ("3d", 3, "
 query("fn_time_bucket_origin", lambda e: {"from": e, "select": [":event_id", ("as", ("time-bucket", 7, "hours", ":ts", dt.datetime(2024, 1, 1, 3)), "t")]}, "events", oracle="SELECT event_id, time_bucket(INTERVAL 7 HOURS, ts, TIMESTAMP '2024-01-01 03:00:00') AS t FROM events")
 sql("fn_time_bucket_group", "SELECT TIME_BUCKET(1, 'day', ts) AS d, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1 ORDER BY 1", "events", oracle="SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS d, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1")
 query("fn_epoch", lambda e: {"from": e, "select": [":event_id", ("as", ("epoch-days", ":ts"), "d"), ("as", ("epoch-seconds", ":ts"), "s")]}, "events", oracle="SELECT event_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS d, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM events")
-sql("fn_date_group", "SELECT extract(HOUR FROM ts) AS h, count(*) AS n FROM events GROUP BY 1", "events", oracle="SELECT CAST(extract(HOUR FROM ts) AS INTEGER) AS h, count(*) AS n FROM events GROUP BY 1")
+sql("fn_date_group", "SELECT extract(HOUR FROM ts) AS h, count(*) AS n FROM events GROUP BY 1", "events", oracle="SELECT CAST(extract(HOUR FROM ts) AS BIGINT) AS h, count(*) AS n FROM events GROUP BY 1")

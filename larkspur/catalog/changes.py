@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.catalog.registry import add, frame
 from larkspur.operators import bitemporal, dml
 from larkspur.plans.sqlfront import Engine
-from larkspur.session import table
+from larkspur.session import shared_root, table
 from larkspur.sources.store import Store
 
 NOW = "2001-01-01 00:00:00"
@@ -88,14 +88,14 @@ add("bitemporal_upsert", _scd2, _H + f", c AS (SELECT * FROM h WHERE _valid_to =
 
 def _system(spark, sf_dir):
     """A system-versioned update keeps the old row, closed, beside its parts."""
-    h = periods(table(spark, sf_dir, "orders")).filter("o_custkey < 20")
+    h = periods(table(spark, sf_dir, "orders"))
     h = h.withColumn("_system_from", bitemporal.moment("1995-01-01")).withColumn("_system_to", bitemporal.moment("END_OF_TIME"))
     return bitemporal.update_portion(h, "1998-01-01", "1999-01-01", {"o_totalprice": F.lit(0.0)}, F.lit(True), NOW)
 
 
 _SYS = f"_valid_from < {_B} AND _valid_to > {_A}"
 _NEW = f"TIMESTAMP '{NOW}' AS _system_from, {END} AS _system_to"
-add("bitemporal_system_update", _system, _H + f""", s AS (SELECT * FROM h WHERE o_custkey < 20)
+add("bitemporal_system_update", _system, _H + f""", s AS (SELECT * FROM h)
 SELECT o_orderkey, o_custkey, o_totalprice, _valid_from, _valid_to, TIMESTAMP '1995-01-01' AS _system_from, CASE WHEN {_SYS} THEN TIMESTAMP '{NOW}' ELSE {END} END AS _system_to FROM s
 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, _valid_from, {_A}, {_NEW} FROM s WHERE {_SYS} AND _valid_from < {_A}
 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, {_B}, _valid_to, {_NEW} FROM s WHERE {_SYS} AND _valid_to > {_B}
@@ -104,8 +104,7 @@ UNION ALL SELECT o_orderkey, o_custkey, 0.0, greatest(_valid_from, {_A}), least(
 
 def _versions(spark, sf_dir):
     """A branch's table at its first commit, after a second one and a fork."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='larkspur-store-')}"
-    store = Store(spark, f"{root}/store-{id(object())}")
+    store = Store(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}")
     nation = table(spark, sf_dir, "nation")
     first = store.sync(nation, "nation", tx=1)
     store.sync(nation.filter("n_regionkey < 3"), "nation", tx=2)

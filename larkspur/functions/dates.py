@@ -63,7 +63,11 @@ def date_add(unit: str, n, ts: Column) -> Column:
 
 
 def date_diff(unit: str, a: Column, b: Column) -> Column:
-    """a - b as a fractional number of units."""
+    """a - b as a fractional number of units; months are whole ones plus what is left in months of 31 days."""
+    if span := {"month": 1, "quarter": 3, "year": 12}.get(_unit(unit)):
+        whole = (F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)
+        inside = lambda x: micros(x) - micros(F.date_trunc("month", x))
+        return (whole + (inside(a) - inside(b)) / F.lit(31.0 * UNITS["day"])) / F.lit(float(span))
     return (micros(a) - micros(b)) / F.lit(float(UNITS[_unit(unit)]))
 
 

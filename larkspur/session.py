@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,13 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register tables of a folder as temporary views."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or on a local master without one a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='larkspur-')}"

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INFER_ROWS = 1000
-
-
 def guarded(path: str) -> str:
     """A path without parent-folder parts."""
     if ".." in re.split(r"[/\\]", path):
@@ -20,28 +17,30 @@ def guarded(path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, separator: str = ",", header: bool = True, types: dict[str, str] | None = None, limit: int | None = None) -> DataFrame:
-    """A CSV file. Types not given are inferred from the first thousand non-empty values: long, double, else string.
+    """A CSV file. Types not given are inferred from all values: long if all are whole numbers, else double, else string.
 
-    An unquoted empty cell is NULL, a quoted one the empty text; in numeric columns both are NULL.
+    An unquoted empty cell is NULL, a quoted one the empty text; in numeric columns both are NULL. No value is
+    lost: one that doesn't fit a given type is an error.
     """
     raw = spark.read.csv(guarded(path), sep=separator, header=header, inferSchema=False, nullValue="", emptyValue='""')
     if not header:
         raw = raw.toDF(*[f"col{i}" for i in range(len(raw.columns))])
     types = dict(types or {})
-    unknown = [c for c in raw.columns if c not in types]
-    if unknown:
-        seen = raw.select(*[f"`{c}`" for c in unknown]).limit(INFER_ROWS)
-        fits = lambda c, kind: F.coalesce(F.min(F.when(F.col(f"`{c}`").isNotNull() & (F.col(f"`{c}`") != '""'), F.col(f"`{c}`").try_cast(kind).isNotNull())), F.lit(False))
-        found = seen.agg(*[fits(c, k).alias(f"{k}{i}") for i, c in enumerate(unknown) for k in ("bigint", "double")]).first()
+    cell = lambda c: F.col(f"`{c}`")
+    filled = lambda c: cell(c).isNotNull() & (cell(c) != '""')
+    if unknown := [c for c in raw.columns if c not in types]:
+        fits = lambda c, kind: F.coalesce(F.min(F.when(filled(c), cell(c).try_cast(kind).isNotNull())), F.lit(False))
+        found = raw.agg(*[fits(c, k).alias(f"{k}{i}") for i, c in enumerate(unknown) for k in ("bigint", "double")]).first()
         for i, c in enumerate(unknown):
             types[c] = "bigint" if found[f"bigint{i}"] else "double" if found[f"double{i}"] else "string"
-    quoted = lambda c: F.when(F.col(f"`{c}`") == '""', "").otherwise(F.col(f"`{c}`"))
-    out = raw.select(*[(quoted(c) if types[c] == "string" else F.col(f"`{c}`").try_cast(types[c])).alias(c) for c in raw.columns])
+    text = lambda c: F.when(cell(c) == '""', "").otherwise(cell(c))
+    known = lambda c, kind: F.when(filled(c) & cell(c).try_cast(kind).isNull(), F.raise_error(F.concat(F.lit(f"column {c} has a value that is no {kind}: "), cell(c))).cast(kind)).otherwise(cell(c).try_cast(kind))
+    out = raw.select(*[(text(c) if types[c] == "string" else cell(c).try_cast(types[c]) if c in unknown else known(c, types[c])).alias(c) for c in raw.columns])
     return out.limit(limit) if limit is not None else out
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Flat Parquet columns; NaN in a double counts as NULL."""
+    """Flat Parquet columns."""
     df = spark.read.parquet(guarded(path))
     nested = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     if nested:
