@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.catalog.registry import add, frame, query, sql
 from larkspur.operators import windows
-from larkspur.session import table
+from larkspur.session import spread, table
 
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
 _spec = {"partition": [":user_id"], "order": [":ts", ":event_id"], "as": "x"}
@@ -90,7 +90,7 @@ def _forest(spark, sf_dir):
 
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     forest = iforest.train(rows, ["l_quantity", "l_extendedprice"], contamination=0.02)
-    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", iforest.anomaly_score(forest).alias("score"), iforest.anomaly_predict(forest).alias("outlier"), iforest.anomaly_proba(forest).alias("proba"), iforest.anomaly_confidence(forest).alias("confidence"))
+    return spread(rows).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", iforest.anomaly_score(forest).alias("score"), iforest.anomaly_predict(forest).alias("outlier"), iforest.anomaly_proba(forest).alias("proba"), iforest.anomaly_confidence(forest).alias("confidence"))
 
 
 add("iforest_scores", _forest)

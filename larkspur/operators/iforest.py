@@ -1,4 +1,8 @@
-"""Isolation forests: trained on a bounded sample, scored in vectorised batches."""
+"""Isolation forests: trained on a bounded sample, scored in vectorised batches.
+
+All figures of a row (score, confidence) come from one pass over the trees in one vectorised function, which a forest
+makes once: Spark evaluates equal calls of it once, however many figures a query asks for.
+"""
 
 from __future__ import annotations
 
@@ -17,33 +21,40 @@ def expected_depth(n: int) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n if n > 2 else 1.0
 
 
+#: Rows whose way through the trees is followed at once: they stay in the cache.
+ROWS_AT_ONCE = 8192
+
+
 @dataclass
 class Tree:
-    """Nodes by number: split feature (-1: leaf), split value, left child (right is next), leaf depth."""
+    """Nodes by number: split feature (-1: leaf), split value, left child (right is next), leaf depth; and steps to the deepest leaf."""
 
     feature: np.ndarray
     value: np.ndarray
     left: np.ndarray
     depth: np.ndarray
+    steps: int
 
-    def path(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), np.int64)
-        for _ in range(64):
-            f = self.feature[at]
-            inner = f >= 0
-            if not inner.any():
-                break
-            right = x[np.arange(len(x)), np.maximum(f, 0)] >= self.value[at]
-            at = np.where(inner, self.left[at] + right, at)
-        return self.depth[at]
+    def path(self, flat: np.ndarray, n: int) -> np.ndarray:
+        """Depth of the leaf of each of n rows; flat holds their features, one column after the other. A leaf
+        leads to itself, so all rows take as many steps as the deepest one."""
+        leaf = self.feature < 0
+        start, value = np.where(leaf, 0, self.feature) * n, np.where(leaf, np.inf, self.value)
+        left = np.where(leaf, np.arange(len(leaf)), self.left)
+        row, at = np.arange(n), np.zeros(n, np.int64)
+        for _ in range(self.steps):
+            own = flat.take(start.take(at) + row)
+            at = left.take(at) + (own >= value.take(at))
+        return self.depth.take(at)
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator) -> Tree:
     limit = math.ceil(math.log2(max(2, len(x))))
     feature, value, left, depth = [-1], [0.0], [0], [0.0]
-    todo = [(0, np.arange(len(x)), 0)]
+    todo, deepest = [(0, np.arange(len(x)), 0)], 0
     while todo:
         node, rows, level = todo.pop()
+        deepest = max(deepest, level)
         low, high = x[rows].min(0), x[rows].max(0)
         spread = np.flatnonzero(high > low)
         if level >= limit or len(rows) <= 1 or not len(spread):
@@ -56,7 +67,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> Tree:
         for part in (rows[~right], rows[right]):
             todo.append((len(feature), part, level + 1))
             feature.append(-1), value.append(0.0), left.append(0), depth.append(0.0)
-    return Tree(np.array(feature), np.array(value), np.array(left), np.array(depth))
+    return Tree(np.array(feature), np.array(value), np.array(left), np.array(depth), deepest)
 
 
 @dataclass
@@ -69,14 +80,41 @@ class Forest:
     high: float = 1.0
     seed: int = 42
     ages: list[int] = field(default_factory=list)
-
-    def depths(self, x: np.ndarray) -> np.ndarray:
-        return np.array([t.path(x) for t in self.trees])
+    _functions: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def figures(self, x: np.ndarray, decay: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Score 2^(-E[h]/c) and confidence 1 / (1 + variation of h) of each row; with decay, trees count less for the score the older they are."""
+        weights = np.ones(len(self.trees)) if decay is None else np.power(decay, np.array(self.ages, float))
+        score, confidence = np.empty(len(x)), np.empty(len(x))
+        for low in range(0, len(x), ROWS_AT_ONCE):
+            part = x[low : low + ROWS_AT_ONCE]
+            flat = np.ascontiguousarray(part.T).ravel()
+            total, weighted, squares = (np.zeros(len(part)) for _ in range(3))
+            for tree, w in zip(self.trees, weights, strict=True):
+                h = tree.path(flat, len(part))
+                total += h
+                weighted += w * h
+                squares += h * h
+            mean = total / len(self.trees)
+            spread = np.sqrt(np.maximum(squares / len(self.trees) - mean * mean, 0))
+            score[low : low + len(mean)] = np.power(2.0, -weighted / weights.sum() / max(expected_depth(self.sample_size), 1e-12))
+            confidence[low : low + len(mean)] = 1.0 / (1.0 + spread / np.maximum(mean, 1e-12))
+        return score, confidence
 
     def scores(self, x: np.ndarray, decay: float | None = None) -> np.ndarray:
-        """2^(-E[h]/c); with decay, trees count less the older they are."""
-        weights = np.ones(len(self.trees)) if decay is None else np.power(decay, self.ages)
-        return np.power(2.0, -np.average(self.depths(x), axis=0, weights=weights) / max(expected_depth(self.sample_size), 1e-12))
+        return self.figures(x, decay)[0]
+
+    def function(self, decay: float | None = None):
+        """The vectorised function of this forest: a struct of score and confidence, NULL where a feature is."""
+        if decay not in self._functions:
+            self._functions[decay] = _udf(self, decay)
+        return self._functions[decay]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_functions"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, _functions={})
 
 
 def sample(df: DataFrame, features: list[str], n: int, seed: int) -> np.ndarray:
@@ -113,27 +151,31 @@ def rotate(forest: Forest, df: DataFrame, k: int | None = None, seed: int | None
     return Forest(forest.features, forest.trees[k:] + new, forest.sample_size, forest.threshold, forest.low, forest.high, seed, [a + 1 for a in forest.ages[k:]] + [0] * k)
 
 
-def _udf(forest: Forest, of):
-    @F.pandas_udf("double")
+def _udf(forest: Forest, decay: float | None):
+    @F.pandas_udf("score double, confidence double")
     def apply(*columns):
         import pandas as pd
 
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
         known = ~np.isnan(x).any(1)
-        out = np.full(len(x), np.nan)
+        out = np.full((2, len(x)), np.nan)  # NaN is sent as NULL
         if known.any():
-            out[known] = of(x[known])
-        return pd.Series(out).astype(object).where(known, None)
+            out[:, known] = forest.figures(x[known], decay)
+        return pd.DataFrame({"score": out[0], "confidence": out[1]})
 
     return apply
 
 
+def _figure(forest: Forest, name: str, columns=None, decay: float | None = None):
+    return forest.function(decay)(*(columns or [F.col(c).cast("double") for c in forest.features]))[name]
+
+
 def anomaly_score(forest: Forest, columns=None):
-    return _udf(forest, forest.scores)(*(columns or [F.col(c).cast("double") for c in forest.features]))
+    return _figure(forest, "score", columns)
 
 
 def anomaly_weighted(forest: Forest, decay: float = 0.98, columns=None):
-    return _udf(forest, lambda x: forest.scores(x, decay))(*(columns or [F.col(c).cast("double") for c in forest.features]))
+    return _figure(forest, "score", columns, decay)
 
 
 def anomaly_predict(forest: Forest, threshold: float | None = None, columns=None):
@@ -154,9 +196,4 @@ def anomaly_proba(forest: Forest, columns=None):
 
 def anomaly_confidence(forest: Forest, columns=None):
     """1 / (1 + coefficient of variation of the path lengths)."""
-
-    def of(x):
-        d = forest.depths(x)
-        return 1.0 / (1.0 + d.std(0) / np.maximum(d.mean(0), 1e-12))
-
-    return _udf(forest, of)(*(columns or [F.col(c).cast("double") for c in forest.features]))
+    return _figure(forest, "confidence", columns)

@@ -44,3 +44,9 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before costly work per row: dealt anew only where it has fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
