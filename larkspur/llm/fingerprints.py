@@ -11,7 +11,8 @@ Words are what stands between ASCII white space. A text of one to four words is
 without words, empty or null has the empty fingerprint, like only to itself. Equal texts
 have equal fingerprints. Repeated rows and null identifiers are kept (null first in order). The
 next document's text comes by one shuffle on identifier ranges, whose first documents are
-also sent to the range before; no range is collected. Only DataFrame functions are used.
+also sent to the range before; no range is collected. A very long text is fingerprinted whole. Empty
+tables give no rows. Other columns of documents are not read. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ VALUE_BITS = 63 - BINS_LOG2
 EMPTY = (1 << VALUE_BITS) - 1
 DRAWS = 8
 SHINGLE = 5
-#: Ranges of identifiers for finding the next document: at most so many bounds come to the driver.
-DOCS_PER_RANGE, MOST_RANGES = 2000, 4096
+#: Documents of a range of identifiers for finding the next one, and ranges at most, whose bounds (8 bytes each) come to the driver. Beyond
+#: their product ranges grow, and a task sorts its range on disk.
+DOCS_PER_RANGE, MOST_RANGES = 2000, 65_536
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -87,19 +89,30 @@ def packed(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda v: F.get(digits, F.pmod(v.cast("int"), F.lit(256)))), "")
 
 
-def with_next(rows: DataFrame, payload: list[str]) -> DataFrame:
+def last_at_most(bounds: Column, count: int, key: Column) -> Column:
+    """The place of the last of `count` ascending bounds that is at most key, by halving; 0 where none is."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        return let(F.floor((acc["low"] + acc["high"] + 1) / 2).cast("int"), lambda mid: F.when(F.get(bounds, mid) <= key, F.struct(mid.alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), F.greatest(mid - 1, acc["low"]).alias("high"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, count.bit_length()))), F.struct(F.lit(0).alias("low"), F.lit(count - 1).alias("high")), halve)["low"]
+
+
+def with_next(rows: DataFrame, payload: list[str], docs_per_range: int = DOCS_PER_RANGE) -> DataFrame:
     """Add next_<c> for each payload column: that of the next row by key (then text), of the last row the first one's."""
     key = F.col("key")
     n = rows.count()
-    ranges = max(1, min(n // DOCS_PER_RANGE, MOST_RANGES))
-    found = rows.agg(F.min("key").alias("low"), F.percentile_approx("key", [i / ranges for i in range(ranges)], 10 * MOST_RANGES).alias("q")).first()
-    bounds = sorted({found["low"], *(found["q"] or [])} - {None})
-    if not bounds:
+    ranges = max(1, min(n // docs_per_range, MOST_RANGES))
+    numbers = lambda xs, kind: F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")
+    about = sorted(set(rows.agg(F.percentile_approx("key", numbers([i / ranges for i in range(ranges)], "double"), 10 * ranges).alias("q")).first()["q"] or []))
+    if not about:
         return rows.withColumns({f"next_{c}": F.col(c) for c in payload})
-    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    at = F.size(F.filter(held, lambda b: b <= key)) - 1
+    # Percentiles go through doubles, which don't hold every long: a range's bound is the least key that falls into it.
+    firsts = rows.groupBy(last_at_most(numbers(about, "bigint"), len(about), key).alias("range")).agg(F.min("key").alias("first"))
+    bounds = sorted(r["first"] for r in firsts.collect())
+    held = numbers(bounds, "bigint")
     place = lambda at, guard: F.struct(at.alias("range"), F.lit(guard).alias("guard"))
-    both = let(at, lambda j: F.when(F.get(held, j) == key, F.array(place(j, False), place(F.pmod(j - 1, F.lit(len(bounds))), True))).otherwise(F.array(place(j, False))))
+    both = let(last_at_most(held, len(bounds), key), lambda j: F.when(F.get(held, j) == key, F.array(place(j, False), place(F.pmod(j - 1, F.lit(len(bounds))), True))).otherwise(F.array(place(j, False))))
     dealt = rows.select("*", F.explode(both).alias("_at")).select(*rows.columns, "_at.range", "_at.guard")
     order = Window.partitionBy("range").orderBy("guard", "key", "text")
     return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in payload}).filter(~F.col("guard")).drop("range", "guard")

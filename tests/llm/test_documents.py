@@ -617,6 +617,60 @@ def test_mixed_texts_keep_their_white_space(spark):
     assert sorted((r["doc_id"], r["text"]) for r in rows_of(ordered)) == sorted((r["doc_id"], r["text"]) for r in out)
 
 
+@pytest.mark.parametrize("per_range", [1, 7, 50])
+def test_next_rows_over_many_ranges(spark, per_range):
+    from larkspur.llm.fingerprints import last_at_most, with_next
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(per_range)
+    keys = [int(k) for k in rng.integers(-(2**62), 2**62, 150)] + [5, 5, 5, -(2**63), 2**63 - 1]
+    rows = sorted((k, f"t{i}") for i, k in enumerate(keys))
+    out = with_next(spark.createDataFrame(rows, "key long, text string").repartition(3), ["text"], per_range)
+    assert sorted((r["key"], r["text"], r["next_text"]) for r in rows_of(out)) == [(*r, rows[(i + 1) % len(rows)][1]) for i, r in enumerate(rows)]
+    bounds = sorted({int(k) for k in rng.integers(0, 1000, 9)})
+    at = spark.range(1000).select("id", last_at_most(F.array(*map(F.lit, bounds)), len(bounds), F.col("id")).alias("at"))
+    assert all(r["at"] == max([i for i, b in enumerate(bounds) if b <= r["id"]], default=0) for r in rows_of(at))
+
+
+def plain_fingerprint(text):
+    """The fingerprint by loops over bins, from Spark's hash."""
+    import xxhash
+
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    chained = lambda values: signed(__import__("functools").reduce(lambda seed, v: xxhash.xxh64(v, seed % 2**64).intdigest(), values, 42))
+    longs = lambda v: int(v).to_bytes(8, "little", signed=True)
+    ints = lambda v: int(v).to_bytes(4, "little", signed=True)
+    words = [longs(chained([w.encode()])) for w in WORD.findall(text)]
+    if not words:
+        return ""
+    grams = [words[i : i + 5] for i in range(max(1, len(words) - 4))]
+    bins = {}
+    for g in grams:
+        h = (chained(g) % 2**64) >> 1
+        bins[h >> 55] = min(h, bins.get(h >> 55, h))
+    out = []
+    for j in range(256):
+        if j in bins:
+            value = bins[j]
+        else:
+            draws = [chained([ints(j), ints(a)]) & 255 for a in range(1, 9)]
+            filled = [d for d in draws if d in bins]
+            value = bins[filled[0]] if filled else bins[min(bins, key=lambda b: chained([ints(j), ints(0), ints(b)]))]
+        out.append(((chained([longs(value), ints(j)]) & 255) - 128) % 256)
+    return "".join(f"{v:02x}" for v in out)
+
+
+@pytest.mark.parametrize("which", ["odd", "real"])
+def test_fingerprints_by_loops(spark, request, which):
+    from larkspur.llm.fingerprints import fingerprint, packed
+    from pyspark.sql import functions as F
+
+    rows = request.getfixturevalue(which)[1]
+    table = spark.createDataFrame([(k, r[1] or "") for k, r in enumerate(rows)], "k int, text string")
+    got = {r["k"]: r["f"] for r in rows_of(table.select("k", packed(fingerprint(F.col("text"))).alias("f")))}
+    assert got == {k: plain_fingerprint(r[1] or "") for k, r in enumerate(rows)}
+
+
 @pytest.mark.parametrize("which", ["odd", "real"])
 def test_fingerprints(spark, request, which):
     path, rows = request.getfixturevalue(which)
