@@ -382,7 +382,7 @@ def verified(groups: DataFrame, candidates: DataFrame, docs: DataFrame, percent:
         sets = materialise(sets.dropDuplicates(["cid"]), "distinct-sets")
         pairs = candidates.join(large.select(F.col("cid").alias("a")).hint("merge"), "a")
         sure = materialise(_confirmed(pairs, sets, percent), "confirmed")
-        apart = large.join(components(sure, salts).select(F.col("node").alias("cid"), F.col("root").alias("label")), "cid", "left").select("cid", "root", F.coalesce("label", "cid").alias("label"))
+        apart = large.join(components(sure).select(F.col("node").alias("cid"), F.col("root").alias("label")), "cid", "left").select("cid", "root", F.coalesce("label", "cid").alias("label"))
         apart = with_group(apart, "root", "cid", F.min("label"), F.min, "least", salts)
         apart = with_group(apart, "root", "cid", F.max("label"), F.max, "most", salts).filter("least < most").select("cid", "root", "label")
         # Labels of many classes have blocks of their own, which need no comparison with one another; the others share pool -1.
@@ -402,41 +402,52 @@ def verified(groups: DataFrame, candidates: DataFrame, docs: DataFrame, percent:
     return links
 
 
-def components(edges: DataFrame, salts: int) -> DataFrame:
-    """(node, root) of every node that has an edge (a, b): alternating large and small stars until nothing changes."""
+def _joined_locally(batches):
+    """Union-find over one task's edges (a, b): a forest of stars in place of them, a above b."""
     import pyarrow as pa
 
-    def local(batches):
-        """Union-find over one task's edges: a forest of stars in place of them."""
-        parent: dict[int, int] = {}
+    parent: dict[int, int] = {}
 
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-        for batch in batches:
-            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = find(a), find(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        own = [(x, find(x)) for x in list(parent)]
-        own = [(x, r) for x, r in own if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([r for _, r in own], pa.int64())], names=["a", "b"])
-
-    def star(links: DataFrame, large: bool) -> DataFrame:
-        near = links if not large else links.union(links.select("b", "a"))
-        near = with_group(near, "a", "b", F.min("b"), F.min, "least", salts).withColumn("m", F.least("least", "a"))
-        if large:
-            return near.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        sent = near.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return sent.union(near.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-
-    links = materialise(edges.select("a", "b").mapInArrow(local, "a long, b long"), "links")
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    own = [(x, find(x)) for x in list(parent)]
+    own = [(x, r) for x, r in own if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([r for _, r in own], pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node that has an edge (a, b): alternating large and small stars until nothing changes.
+
+    Edges lead from the greater node to the lesser. `least` is each greater node's least neighbour, made by a
+    partial aggregate and stored, so that Spark sends it to all tasks where it is small, and else splits
+    the rows of a hub, as of any skewed key, over tasks.
+    """
+
+    def least(links: DataFrame) -> DataFrame:
+        return materialise(links.groupBy("a").agg(F.min("b").alias("m")), "least").withColumnRenamed("a", "of")
+
+    forest = lambda links: materialise(links.distinct().mapInArrow(_joined_locally, "a long, b long"), "links", drop=(held,))
+    links = materialise(edges.select("a", "b").mapInArrow(_joined_locally, "a long, b long"), "links")
     mark = None
     while True:
-        links = materialise(star(star(links, True), False), "links", drop=(links,))
+        held, low = links, least(links)
+        # Large star: a greater neighbour of b goes to b's least neighbour, or stays with b.
+        links = forest(links.join(low, F.col("b") == F.col("of"), "left").select("a", F.coalesce("m", "b").alias("b")))
+        discard(low)
+        held, low = links, least(links)
+        # Small star: a and its lesser neighbours go to the least of them.
+        both = links.join(low, F.col("a") == F.col("of")).select("a", "b", "m")
+        links = forest(both.select("a", F.col("m").alias("b")).union(both.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        discard(low)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark:
             break
@@ -458,10 +469,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     salts = max(1, round(classes.count() ** 0.5))
     about = classes.select("cid", "node", "node2", F.col("doc_id").alias("doc"))
     candidates = candidate_links(classes, percent, bucket)
-    groups = components(candidates, salts).withColumnRenamed("node", "cid").join(about, "cid")
+    groups = components(candidates).withColumnRenamed("node", "cid").join(about, "cid")
     links = materialise(verified(groups, candidates, docs, percent, id_col, text_col, salts, block), "edges", drop=(candidates,))
     release(docs.sparkSession)
-    roots = components(links, salts)
+    roots = components(links)
 
     named = roots.withColumnRenamed("node", "cid").join(about.select("cid", "doc"), "cid")
     named = with_group(named, "root", "cid", F.min("doc"), F.min, "component_id", salts).select("cid", "root", "component_id")

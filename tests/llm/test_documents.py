@@ -113,6 +113,31 @@ def test_large_groups_and_buckets_in_blocks(spark, block, bucket):
     assert found_pairs(out) == want and 10 < len({w[2] for w in want}) < 80
 
 
+@pytest.mark.parametrize("shape", ["chain", "hub", "random", "broken path"])
+def test_components_match_union_find(spark, shape):
+    from larkspur.llm.neardup import components
+
+    rng, n = np.random.default_rng(0), 400
+    path = rng.permutation(n)
+    edges = {
+        "chain": [(i, i + 1) for i in range(n)], "hub": [(n, i) for i in range(n)], "random": [(int(a), int(b)) for a, b in rng.integers(0, n, (350, 2)) if a != b],
+        "broken path": [(int(path[i]), int(path[i + 1])) for i in range(n - 1) if i % 7],
+    }[shape]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in rows_of(components(spark.createDataFrame(edges, "a long, b long").repartition(8)))}
+    assert got == {x: find(x) for x in list(parent)}
+
+
 @pytest.mark.parametrize("percent", [30, 50, 70, 80, 85, 95, 100])
 def test_bands_find_pairs_at_the_limit(percent):
     import math
