@@ -433,7 +433,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def least(links: DataFrame) -> DataFrame:
-        return materialise(links.groupBy("a").agg(F.min("b").alias("m")), "least").withColumnRenamed("a", "of")
+        return materialise(links.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")), "least")
 
     forest = lambda links: materialise(links.distinct().mapInArrow(_joined_locally, "a long, b long"), "links", drop=(held,))
     links = materialise(edges.select("a", "b").mapInArrow(_joined_locally, "a long, b long"), "links")
