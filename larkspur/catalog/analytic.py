@@ -105,3 +105,41 @@ def _forest_sql(spark, sf_dir):
 
 
 add("iforest_sql", _forest_sql)
+
+
+def _forest_bounds(spark, sf_dir):
+    """Scores lie in (0, 1), an outlier's is above the threshold, and a score is the same in both forms."""
+    from larkspur.operators import iforest
+    from larkspur.plans.sqlfront import Engine
+
+    engine = Engine(spark).over(sf_dir, "events")
+    engine.sql("CREATE MODEL odd TYPE ISOLATION_FOREST OPTIONS (n_trees = 50, sample_size = 128, contamination = 0.05) AS SELECT value FROM events")
+    forest = engine.models["odd"]
+    out = engine.sql("SELECT event_id, value, ANOMALY_SCORE('odd') AS score, ANOMALY_PREDICT('odd', value) AS outlier, ANOMALY_PROBA('odd') AS proba, ANOMALY_CONFIDENCE('odd') AS confidence FROM events")
+    score = F.col("score")
+    return out.select(
+        "event_id", score.between(0.01, 0.99).alias("score_holds"), ((score > forest.threshold) == (F.col("outlier") == 1)).alias("outlier_holds"), F.col("proba").between(0, 1).alias("proba_holds"),
+        ((F.col("confidence") > 0) & (F.col("confidence") <= 1)).alias("confidence_holds"), (F.abs(score - iforest.anomaly_score(forest)) < 1e-12).alias("forms_agree"),
+        (F.abs(score - iforest.anomaly_weighted(forest, 0.5)) < 1e-12).alias("weights_of_one_age_agree"),
+    )
+
+
+add("iforest_bounds", _forest_bounds, "SELECT event_id, true AS score_holds, true AS outlier_holds, true AS proba_holds, true AS confidence_holds, true AS forms_agree, true AS weights_of_one_age_agree FROM events")
+
+
+def _model_statements(spark, sf_dir):
+    from larkspur.operators import iforest
+    from larkspur.plans.sqlfront import Engine
+
+    engine = Engine(spark).over(sf_dir, "events")
+    engine.sql("CREATE MODEL one TYPE ISOLATION_FOREST OPTIONS (n_trees = 20, sample_size = 64) AS SELECT value, user_id FROM events")
+    engine.sql("CREATE MODEL two TYPE ISOLATION_FOREST AS SELECT value FROM events")
+    engine.sql("DROP MODEL two")
+    engine.sql("DROP MODEL IF EXISTS two")
+    turned = iforest.rotate(engine.models["one"], engine.tables["events"], 5)
+    told = engine.sql("DESCRIBE MODEL one").filter("property in ('features', 'trees', 'sample_size')")
+    ages = spark.createDataFrame([("ages after rotation", ",".join(map(str, sorted(set(turned.ages))))), ("trees after rotation", str(len(turned.trees)))], "property string, value string")
+    return told.unionByName(ages).unionByName(engine.sql("SHOW MODELS").select(F.col("name").alias("property"), F.col("trees").cast("string").alias("value")))
+
+
+add("model_statements", _model_statements, "SELECT * FROM (VALUES ('features', 'value, user_id'), ('trees', '20'), ('sample_size', '64'), ('ages after rotation', '0,1'), ('trees after rotation', '20'), ('one', '20')) t(property, value)")

@@ -56,6 +56,9 @@ def _asof_sql(spark, sf_dir):
 
 add("asof_sql", _asof_sql, f"SELECT a.event_id, b.buy_id, a.ts FROM {_PROBE} a ASOF LEFT JOIN {_BUILD} b ON a.user_id = b.buyer AND a.ts >= b.buy_ts")
 
+frame("asof_hot_keys", lambda e: joins.asof_join(*_sides(e), ("ts", ">=", "buy_ts"), [("user_id", "buyer")], "left", hot_keys=True), "events", oracle=f"SELECT a.*, b.* FROM {_PROBE} a ASOF LEFT JOIN {_BUILD} b ON a.user_id = b.buyer AND a.ts >= b.buy_ts")
+frame("asof_hot_keys_forward", lambda e: joins.asof_join(*_sides(e), ("ts", "<", "buy_ts"), [("user_id", "buyer")], hot_keys=True), "events", oracle=f"SELECT a.*, b.* FROM {_PROBE} a ASOF JOIN {_BUILD} b ON a.user_id = b.buyer AND a.ts < b.buy_ts")
+
 _HOUR = 3_600_000_000
 _WJ = {"n": ("count", "v"), "total": ("sum", "v"), "mean": ("avg", "v"), "low": ("min", "v"), "high": ("max", "v")}
 
@@ -103,6 +106,7 @@ for _name, _agg, _sql in (
 sql("agg_percentile_disc", "SELECT l_returnflag, PERCENTILE_DISC(0.25, l_extendedprice) AS p FROM lineitem GROUP BY l_returnflag", "lineitem", oracle="SELECT l_returnflag, quantile_disc(l_extendedprice, 0.25) AS p FROM lineitem GROUP BY l_returnflag")
 sql("agg_percentiles", "SELECT PERCENTILE_CONT(0.25, l_quantity) AS a, PERCENTILE_CONT(0.5, l_quantity) AS b, PERCENTILE_CONT(0.75, l_quantity) AS c FROM lineitem", "lineitem", oracle="SELECT quantile_cont(l_quantity, 0.25) AS a, quantile_cont(l_quantity, 0.5) AS b, quantile_cont(l_quantity, 0.75) AS c FROM lineitem")
 add("approx_quantile", lambda spark, d: __import__("larkspur.plans.sqlfront", fromlist=["Engine"]).Engine(spark).over(d, "lineitem").sql("SELECT l_returnflag, APPROX_QUANTILE(l_extendedprice, 0.95) AS p FROM lineitem GROUP BY l_returnflag"))
+sql("approx_quantile_rank", "SELECT l_returnflag, abs(avg(CASE WHEN l_extendedprice <= p THEN 1 ELSE 0 END) - 0.95) < 0.01 AS near FROM lineitem JOIN (SELECT l_returnflag AS g, APPROX_QUANTILE(l_extendedprice, 0.95) AS p FROM lineitem GROUP BY l_returnflag) q ON l_returnflag = g GROUP BY l_returnflag", "lineitem", oracle="SELECT DISTINCT l_returnflag, true AS near FROM lineitem")
 sql("agg_group_expression", "SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1", "orders", oracle="SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, count(*) AS n FROM orders GROUP BY 1")
 sql("agg_null_group", "SELECT nullif(l_returnflag, 'A') AS g, count(*) AS n, round(sum(l_tax), 4) AS t FROM lineitem GROUP BY 1", "lineitem")
 sql("agg_empty_input", "SELECT count(*) AS n, sum(l_quantity) AS s, avg(l_quantity) AS a, min(l_shipdate) AS m FROM lineitem WHERE l_quantity < 0", "lineitem")

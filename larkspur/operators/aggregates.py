@@ -9,40 +9,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Groups that a task of a fold holds at once.
+HELD = 50_000
+
+
 def fold(df: DataFrame, keys: list[str], column: str, unit: Any, combine: Callable, finalize: Callable | None = None, kind: str = "double", where: Column | None = None) -> DataFrame:
     """A monoid over each group: unit, an associative combine(a, b) and a last step.
 
-    Each task folds what it has seen of a group to one value before anything is shuffled, so a
-    group of any size meets as a few partial values. combine sees plain Python values; NULLs are skipped.
+    Each task folds what it has seen of a group to one value before anything is shuffled (sending on what it
+    has whenever it holds HELD groups), so a group of any size meets as a few partial values; these come sorted, so the
+    last fold holds one group at a time. combine sees plain Python values; NULLs are skipped.
     """
     df = df.filter(where) if where is not None else df
     rows = df.select(*keys, F.col(column).cast(kind).alias("value"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "value"] + [f"value {kind}"])
 
     def part(last: bool):
+        done = finalize if last and finalize else lambda v: v
+
         def run(batches):
             import pyarrow as pa
 
             held: dict[tuple, Any] = {}
             fields = None
+
+            def sent():
+                out = [(*k, done(v)) for k, v in held.items()]
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], fields.field(i).type) for i in range(len(fields))], names=fields.names)
+
             for batch in batches:
                 fields = batch.schema
-                columns = [c.to_pylist() for c in batch.columns]
-                for row in zip(*columns, strict=True):
-                    own, value = row[:-1], row[-1]
-                    if value is not None:
-                        held[own] = combine(held.get(own, unit), value)
-                    else:
-                        held.setdefault(own, unit)
+                for *own, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = tuple(own)
+                    if len(held) >= HELD and own not in held:  # when folding for the last time, rows are sorted: those held are complete
+                        yield sent()
+                    held[own] = held.get(own, unit) if value is None else combine(held.get(own, unit), value)
             if fields is not None:
-                done = finalize if last and finalize else lambda v: v
-                out = [(*k, done(v)) for k, v in held.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], fields.field(i).type) for i in range(len(fields))], names=fields.names)
+                yield sent()
 
         return run
 
     partial = rows.mapInArrow(part(False), schema)
-    dealt = partial.repartition(*keys) if keys else partial.coalesce(1)
+    dealt = partial.repartition(*keys).sortWithinPartitions(*keys) if keys else partial.coalesce(1)
     return dealt.mapInArrow(part(True), schema)
 
 

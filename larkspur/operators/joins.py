@@ -14,7 +14,7 @@ def _number(df: DataFrame, name: str) -> Column:
     return micros(F.col(f"`{name}`")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(f"`{name}`")
 
 
-def asof_join(probe: DataFrame, build: DataFrame, on: tuple[str, str, str], keys: list[tuple[str, str]] = (), how: str = "inner", tie: list[str] = ()) -> DataFrame:
+def asof_join(probe: DataFrame, build: DataFrame, on: tuple[str, str, str], keys: list[tuple[str, str]] = (), how: str = "inner", tie: list[str] = (), hot_keys: bool = False) -> DataFrame:
     """At most one row of build for each row of probe.
 
     on: (probe time, operator, build time). `>=` takes the latest build row at or before the
@@ -22,8 +22,8 @@ def asof_join(probe: DataFrame, build: DataFrame, on: tuple[str, str, str], keys
     of equal columns. NULL times and keys never match; `left` keeps such probe rows. tie
     orders build rows of one time (the last wins). Names of build that probe has too get the suffix
     `_right`. One shuffle by key: both sides are tagged, united and carried along a window, so
-    no range of rows is ever multiplied. Without keys, rows are dealt by time ranges
-    and each range is seeded with the last build row before it.
+    no range of rows is ever multiplied. Without keys, or with hot_keys (keys with more rows than a task
+    should sort), rows are dealt by time ranges too, and each range is seeded with the last build row before it.
     """
     left_time, op, right_time = on
     if op not in (">=", ">", "<=", "<"):
@@ -44,8 +44,8 @@ def asof_join(probe: DataFrame, build: DataFrame, on: tuple[str, str, str], keys
     order_tag = {">=": (0, 1), ">": (1, 0), "<=": (0, 1), "<": (1, 0)}[op]
     both = left.filter(usable).withColumn("_tag", F.lit(order_tag[1])).unionByName(right.withColumn("_tag", F.lit(order_tag[0])), allowMissingColumns=True)
     time = F.col("_t").asc() if backward else F.col("_t").desc()
-    if not keys:
-        both, key_names = _ranged(both, backward)
+    if not keys or hot_keys:
+        both, key_names = _ranged(both, backward, key_names)
     w = Window.partitionBy(*key_names).orderBy(time, "_tag", F.col("_tie").asc() if backward else F.col("_tie").desc())
     carried = both.withColumn("_b", F.last("_b", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     matched = carried.filter(F.col("_p").isNotNull() & (~F.col("_guard") if "_guard" in carried.columns else F.lit(True)))
@@ -56,22 +56,38 @@ def asof_join(probe: DataFrame, build: DataFrame, on: tuple[str, str, str], keys
     return matched.select(*[F.col(f"_p.{c}") for c in own], *[F.col(f"_b.`{c}`").alias(n) for c, n in renamed.items()])
 
 
-def _ranged(both: DataFrame, backward: bool, ranges: int = 256) -> tuple[DataFrame, list[str]]:
-    """Deal rows without keys by time ranges. Into each range goes a copy of the last build row before it."""
-    bounds = both.agg(F.percentile_approx("_t", [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"] or []
-    bounds = sorted(set(bounds))
-    held = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+def _place(bounds: Column, count: int, below) -> Column:
+    """How many of `count` ascending bounds are below a value, by halving; below(bound) is true for a beginning of them."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        more = (acc["low"] < acc["high"]) & below(F.get(bounds, mid))
+        return F.struct(F.when(more, mid + 1).otherwise(acc["low"]).alias("low"), F.when(more | (acc["low"] == acc["high"]), acc["high"]).otherwise(mid).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(count.bit_length())), F.struct(F.lit(0).alias("low"), F.lit(count).alias("high")), halve)["low"]
+
+
+#: Rows of a time range, about, and ranges at most (their bounds come to the driver).
+RANGE_ROWS, MOST_RANGES = 100_000, 16_384
+
+
+def _ranged(both: DataFrame, backward: bool, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Deal rows by time ranges, inside keys. Into each range of a key goes a copy of the key's last build row before it."""
+    ranges = max(2, min(MOST_RANGES, both.count() // RANGE_ROWS))
+    shares = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
+    bounds = sorted(set(both.agg(F.percentile_approx("_t", shares, 20 * ranges).alias("q")).first()["q"] or []))
+    kind = both.schema["_t"].dataType.simpleString()
+    held = F.split(F.lit(",".join(map(repr, bounds))), ",").cast(f"array<{kind}>") if bounds else F.array().cast(f"array<{kind}>")
     edge = (lambda b: b <= F.col("_t")) if backward else (lambda b: b < F.col("_t"))
-    dealt = both.withColumn("_range", F.size(F.filter(held, edge)))
+    dealt = both.withColumn("_range", _place(held, len(bounds), edge))
     nearest = F.max_by if backward else F.min_by
-    order = F.struct("_t", "_tie") if backward else F.struct("_t", "_tie")
-    last = dealt.filter(F.col("_b").isNotNull()).groupBy("_range").agg(nearest(F.struct("_t", "_b", "_tie", "_tag"), order).alias("x"))
-    # A row per range at most; later ranges inherit through the window's carry over a chain of seeds.
-    step = Window.orderBy("_range" if backward else F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    spine = both.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("_range"))
-    seeds = spine.join(last, "_range", "left").withColumn("x", F.last("x", ignorenulls=True).over(step)).filter("x is not null")
-    seeds = seeds.select("_range", "x._t", "x._b", "x._tie", "x._tag").withColumn("_guard", F.lit(True))
-    return dealt.withColumn("_guard", F.lit(False)).unionByName(seeds, allowMissingColumns=True), ["_range"]
+    row = F.struct("_t", "_b", "_tie", "_tag")
+    last = dealt.groupBy(*keys, "_range").agg(nearest(F.when(F.col("_b").isNotNull(), row), F.when(F.col("_b").isNotNull(), F.struct("_t", "_tie"))).alias("x"))
+    # Of each key, a row per range at most: later ranges take the last build row of those before them.
+    step = Window.partitionBy(*keys).orderBy("_range" if backward else F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    seeds = last.withColumn("x", F.last("x", ignorenulls=True).over(step)).filter("x is not null")
+    seeds = seeds.select(*keys, "_range", "x._t", "x._b", "x._tie", "x._tag").withColumn("_guard", F.lit(True))
+    return dealt.withColumn("_guard", F.lit(False)).unionByName(seeds, allowMissingColumns=True), [*keys, "_range"]
 
 
 AGGREGATES = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max}

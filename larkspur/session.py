@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -20,14 +21,31 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.cbo.enabled": "true",
         "spark.sql.cbo.joinReorder.enabled": "true",
+        # Aggregates that keep objects (percentiles, lists) fall back to sorting beyond so many groups in a task.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     } | {k.replace("__", "."): v for k, v in settings.items()}
     for key, value in held.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+#: Schemas of files by path and time of change, so that a table is opened without reading its footers again.
+_SCHEMAS: dict[tuple[str, int], StructType] = {}
+
+
+def parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet by path; the schema is read once for each state of the file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    key = path, at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    if key in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[key] = df.schema
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return parquet(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
