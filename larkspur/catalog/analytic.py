@@ -69,6 +69,10 @@ sql("bench_h2o_q9", "SELECT l_returnflag, l_suppkey, round(pow(corr(l_quantity,
 sql("bench_h2o_q10", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS s, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6", "lineitem")
 sql("bench_h2o_j1", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS a, round(sum(s_acctbal), 2) AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey", "lineitem", "supplier")
 sql("bench_h2o_j3", "SELECT count(*) AS n, count(o_orderkey) AS m, round(sum(l_quantity), 2) AS a FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON l_orderkey = o_orderkey", "lineitem", "orders")
+sql("bench_h2o_j2", "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS a, round(sum(o_totalprice), 2) AS b FROM lineitem JOIN (SELECT o_orderkey, o_totalprice, 1 AS o_line FROM orders) o ON l_orderkey = o_orderkey AND l_linenumber = o_line", "lineitem", "orders")
+sql("bench_cb_minute_trunc", "SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1", "events", oracle="SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS m, count(*) AS n FROM events GROUP BY 1")
+sql("bench_percentiles", "SELECT PERCENTILE_CONT(0.25, l_quantity) AS a, PERCENTILE_CONT(0.5, l_quantity) AS b, PERCENTILE_CONT(0.75, l_quantity) AS c FROM lineitem", "lineitem", oracle="SELECT quantile_cont(l_quantity, 0.25) AS a, quantile_cont(l_quantity, 0.5) AS b, quantile_cont(l_quantity, 0.75) AS c FROM lineitem")
+sql("bench_win_row_number", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem", "lineitem", oracle="SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS rn FROM lineitem")
 sql("bench_semi", "SELECT round(sum(o_totalprice), 2) AS v, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 5)", "orders", "customer")
 sql("bench_cb_minute", "SELECT CAST(extract(MINUTE FROM ts) AS INTEGER) AS m, count(*) AS n FROM events GROUP BY 1", "events")
 sql("bench_cb_user_group", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10", "events")
