@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from larkspur.catalog.registry import add, sql
+from larkspur.plans import dsl
+from larkspur.plans.explain import compiled
 from larkspur.plans.sqlfront import Engine
 from larkspur.session import shared_root, table
 from larkspur.sources import files
@@ -156,3 +158,47 @@ def _session(spark, d):
 add("session_settings", _session, "SELECT * FROM (VALUES ('my.option', 'on'), ('timezone', 'UTC')) t(name, setting)")
 add("catalogue_views", lambda spark, d: Engine(spark).over(d, "region", "nation").sql("SELECT t.table_name, c.column_name, c.ordinal_position FROM information_schema.tables t JOIN information_schema.columns c ON t.table_name = c.table_name JOIN pg_catalog.pg_class k ON k.relname = t.table_name"), "SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal_position FROM (VALUES ('region', 'r_regionkey', 1), ('region', 'r_name', 2), ('nation', 'n_nationkey', 1), ('nation', 'n_name', 2), ('nation', 'n_regionkey', 3)) t(table_name, column_name, ordinal_position)")
 add("explain_plan", lambda spark, d: Engine(spark).over(d, "region").sql("EXPLAIN SELECT r_name FROM region WHERE r_regionkey = 1").select(F.contains("plan", F.lit("PushedFilters")).alias("pushed"), F.contains("plan", F.lit("r_name")).alias("named")), "SELECT true AS pushed, true AS named")
+
+
+def _formats(spark, d):
+    """The same result as rows and as columns."""
+    wanted = {"from": table(spark, d, "region"), "select": [":r_regionkey", ":r_name"], "order": [":r_regionkey"]}
+    rows, columns = dsl.run(wanted), dsl.run(wanted | {"result": "columns"})
+    if [r["r_name"] for r in rows] != columns["r_name"]:
+        raise ValueError("rows and columns differ")
+    return spark.createDataFrame(list(zip(columns["r_regionkey"], columns["r_name"], strict=True)), "r_regionkey int, r_name string")
+
+
+def _refused(spark, d):
+    """Statements and queries that must be refused, and by which error."""
+    engine = Engine(spark).over(d, "region", "events")
+    engine.sql("CREATE TYPE mood AS ENUM ('sad', 'ok')")
+    engine.sql("CREATE TABLE m (id INTEGER, x mood, n UTINYINT)")
+    events = table(spark, d, "events")
+    tries = {
+        "system time": lambda: engine.sql("UPDATE region FOR PORTION OF SYSTEM_TIME FROM '2020-01-01' TO '2021-01-01' SET r_name = 'x'"),
+        "conflict in a portion": lambda: engine.sql("INSERT INTO region FOR PORTION OF VALID_TIME FROM '2020-01-01' TO '2021-01-01' (r_regionkey) VALUES (1) ON CONFLICT (r_regionkey) DO NOTHING"),
+        "bare numeric": lambda: engine.sql("CREATE TABLE n (x NUMERIC)"), "unknown table": lambda: engine.sql("DELETE FROM nowhere"), "unknown model": lambda: engine.sql("SELECT ANOMALY_SCORE('none', value) FROM events"),
+        "two inequalities": lambda: engine.sql("SELECT * FROM events a ASOF JOIN events b ON a.ts >= b.ts AND a.value >= b.value"), "parent folder": lambda: engine.sql("SELECT * FROM read_csv('/tmp/../etc/x.csv')"),
+        "sum of text": lambda: dsl.q({"from": events, "agg": [("sum", ":event_type")]}), "unknown column": lambda: dsl.q({"from": events, "select": [":nothing"]}), "unknown clause": lambda: dsl.q({"from": events, "wher": []}),
+        "label not in the enum": lambda: engine.sql("INSERT INTO m VALUES (1, 'odd', 1)") and engine.tables["m"].collect(), "unsigned overflow": lambda: engine.sql("INSERT INTO m VALUES (1, 'ok', 256)") and engine.tables["m"].collect(),
+    }
+    found = []
+    for name, run in tries.items():
+        try:
+            run()
+        except Exception:  # noqa: BLE001
+            found.append((name,))
+    return spark.createDataFrame(found, "refused string")
+
+
+def _compiled(spark, d):
+    """A query that is built once."""
+    built = []
+    call = compiled(lambda low: built.append(low) or table(spark, d, "nation").filter(F.col("n_regionkey") >= low))
+    return call(2).select("n_nationkey").union(call(2).select("n_nationkey")).withColumn("built", F.lit(len(built)))
+
+
+add("result_formats", _formats, "SELECT r_regionkey, r_name FROM region")
+add("refusals", _refused, "SELECT unnest(['system time', 'conflict in a portion', 'bare numeric', 'unknown table', 'unknown model', 'two inequalities', 'parent folder', 'sum of text', 'unknown column', 'unknown clause', 'label not in the enum', 'unsigned overflow']) AS refused")
+add("compiled_query", _compiled, "SELECT n_nationkey, 1 AS built FROM nation WHERE n_regionkey >= 2 UNION ALL SELECT n_nationkey, 1 FROM nation WHERE n_regionkey >= 2")

@@ -103,6 +103,7 @@ for _name, _agg, _sql in (
 ):
     query(f"agg_{_name}", lambda l, a=_agg: {"from": l, "agg": [("as", a, "x")]}, "lineitem", oracle=f"SELECT {_sql} AS x FROM lineitem")
     query(f"agg_{_name}_grouped", lambda l, a=_agg: {"from": l, "group": [":l_returnflag", ":l_linenumber"], "agg": [("as", a, "x")]}, "lineitem", oracle=f"SELECT l_returnflag, l_linenumber, {_sql} AS x FROM lineitem GROUP BY l_returnflag, l_linenumber")
+query("agg_alias_dedupe", lambda l: {"from": l, "group": [":l_returnflag"], "agg": [("max", ":l_tax"), ("max", ":l_quantity"), ("count",), ("min", ":l_linenumber")]}, "lineitem", oracle="SELECT l_returnflag, max(l_tax) AS max_l_tax, max(l_quantity) AS max_l_quantity, count(*) AS count, min(l_linenumber) AS min FROM lineitem GROUP BY l_returnflag")
 sql("agg_percentile_disc", "SELECT l_returnflag, PERCENTILE_DISC(0.25, l_extendedprice) AS p FROM lineitem GROUP BY l_returnflag", "lineitem", oracle="SELECT l_returnflag, quantile_disc(l_extendedprice, 0.25) AS p FROM lineitem GROUP BY l_returnflag")
 sql("agg_percentiles", "SELECT PERCENTILE_CONT(0.25, l_quantity) AS a, PERCENTILE_CONT(0.5, l_quantity) AS b, PERCENTILE_CONT(0.75, l_quantity) AS c FROM lineitem", "lineitem", oracle="SELECT quantile_cont(l_quantity, 0.25) AS a, quantile_cont(l_quantity, 0.5) AS b, quantile_cont(l_quantity, 0.75) AS c FROM lineitem")
 add("approx_quantile", lambda spark, d: __import__("larkspur.plans.sqlfront", fromlist=["Engine"]).Engine(spark).over(d, "lineitem").sql("SELECT l_returnflag, APPROX_QUANTILE(l_extendedprice, 0.95) AS p FROM lineitem GROUP BY l_returnflag"))
@@ -128,7 +129,7 @@ sql("sort_by_unselected_agg", "SELECT o_custkey FROM orders GROUP BY o_custkey O
 sql("sort_limit_zero", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 0", "orders")
 sql("sort_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 37", "orders")
 query("topn_price", lambda l: {"from": l, "order": [(":l_extendedprice", "desc"), (":l_orderkey", "asc"), (":l_partkey", "asc"), (":l_suppkey", "asc"), (":l_linenumber", "asc")], "limit": 25, "select": [":l_orderkey", ":l_extendedprice"]}, "lineitem", oracle="SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 25")
-add("sort_head", lambda spark, d: table(spark, d, "orders").select("o_orderkey").limit(10))
+add("sort_head", lambda spark, d: table(spark, d, "orders").select("o_orderkey").limit(10), "SELECT o_orderkey FROM orders LIMIT 10")
 sql("topn_per_group", "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 2", "orders", oracle="SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rn FROM orders) t WHERE rn <= 2")
 
 # Sets and subqueries
