@@ -38,6 +38,8 @@ ELEMENTS_AT_ONCE = 100_000
 BLOCK, COLUMNS = 2048, 2048
 #: Classes of a bucket that are searched in one task (and of each block of larger ones): 28 bytes each.
 BUCKET = 250_000
+#: Edges that a task joins by union-find.
+EDGES = 16_384
 #: Places of a signature at most (a sketch has so many bits), and how many pairs at the limit may share no band.
 MOST_PLACES, MISSED = 128, 1e-6
 
@@ -425,18 +427,20 @@ def _joined_locally(batches):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge (a, b): alternating large and small stars until nothing changes.
+    """(node, root) of every node that has an edge (a, b) of a stored table: alternating large and small stars until nothing changes.
 
-    Edges lead from the greater node to the lesser. `least` is each greater node's least neighbour, made by a
+    Before and between stars, every task joins its EDGES edges by union-find. Edges lead from the greater node to the lesser. `least` is each greater node's least neighbour, made by a
     partial aggregate and stored, so that Spark sends it to all tasks where it is small, and else splits
     the rows of a hub, as of any skewed key, over tasks.
     """
 
+    tasks = max(1, -(-edges.count() // EDGES))
+
     def least(links: DataFrame) -> DataFrame:
-        return materialise(links.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")), "least")
+        return materialise(links.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).coalesce(tasks), "least")
 
-    forest = lambda links: materialise(links.distinct().mapInArrow(_joined_locally, "a long, b long"), "links", drop=(held,))
-    links = materialise(edges.select("a", "b").mapInArrow(_joined_locally, "a long, b long"), "links")
+    forest = lambda links: materialise(links.distinct().coalesce(tasks).mapInArrow(_joined_locally, "a long, b long"), "links", drop=(held,))
+    links = materialise(edges.select("a", "b").coalesce(tasks).mapInArrow(_joined_locally, "a long, b long"), "links")
     mark = None
     while True:
         held, low = links, least(links)

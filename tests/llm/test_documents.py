@@ -114,9 +114,10 @@ def test_large_groups_and_buckets_in_blocks(spark, block, bucket):
 
 
 @pytest.mark.parametrize("shape", ["chain", "hub", "random", "broken path"])
-def test_components_match_union_find(spark, shape):
-    from larkspur.llm.neardup import components
+def test_components_match_union_find(spark, monkeypatch, shape):
+    from larkspur.llm import neardup
 
+    monkeypatch.setattr(neardup, "EDGES", 60)  # several tasks
     rng, n = np.random.default_rng(0), 400
     path = rng.permutation(n)
     edges = {
@@ -134,7 +135,7 @@ def test_components_match_union_find(spark, shape):
         a, b = find(a), find(b)
         if a != b:
             parent[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in rows_of(components(spark.createDataFrame(edges, "a long, b long").repartition(8)))}
+    got = {r["node"]: r["root"] for r in rows_of(neardup.components(spark.createDataFrame(edges, "a long, b long").repartition(8)))}
     assert got == {x: find(x) for x in list(parent)}
 
 
