@@ -103,6 +103,12 @@ for _name, _agg, _sql in (
 ):
     query(f"agg_{_name}", lambda l, a=_agg: {"from": l, "agg": [("as", a, "x")]}, "lineitem", oracle=f"SELECT {_sql} AS x FROM lineitem")
     query(f"agg_{_name}_grouped", lambda l, a=_agg: {"from": l, "group": [":l_returnflag", ":l_linenumber"], "agg": [("as", a, "x")]}, "lineitem", oracle=f"SELECT l_returnflag, l_linenumber, {_sql} AS x FROM lineitem GROUP BY l_returnflag, l_linenumber")
+_SHARES = {"low": 0.25, "mid": 0.5, "high": 0.95}
+_QUANTILES = "round(quantile_cont({0}, 0.25), 6) AS low, round(quantile_cont({0}, 0.5), 6) AS mid, round(quantile_cont({0}, 0.95), 6) AS high"
+_six = lambda df: df.withColumns({n: F.round(n, 6) for n in _SHARES})
+frame("agg_percentiles_by_range", lambda l: _six(aggregates.exact_percentiles(l, ["l_returnflag"], "l_extendedprice", _SHARES)), "lineitem", oracle=f"SELECT l_returnflag, {_QUANTILES.format('l_extendedprice')} FROM lineitem GROUP BY 1")
+frame("agg_percentiles_by_range_global", lambda l: _six(aggregates.exact_percentiles(l, [], "l_quantity", _SHARES)), "lineitem", oracle=f"SELECT {_QUANTILES.format('l_quantity')} FROM lineitem")
+frame("agg_percentiles_by_range_nulls", lambda e: _six(aggregates.exact_percentiles(e.select(F.nullif("event_type", F.lit("view")).alias("g"), F.when(F.col("event_type") != "click", F.col("value")).alias("v")), ["g"], "v", _SHARES)), "events", oracle=f"SELECT nullif(event_type, 'view') AS g, {_QUANTILES.format('v')} FROM (SELECT event_type, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) GROUP BY 1")
 query("agg_alias_dedupe", lambda l: {"from": l, "group": [":l_returnflag"], "agg": [("max", ":l_tax"), ("max", ":l_quantity"), ("count",), ("min", ":l_linenumber")]}, "lineitem", oracle="SELECT l_returnflag, max(l_tax) AS max_l_tax, max(l_quantity) AS max_l_quantity, count(*) AS count, min(l_linenumber) AS min FROM lineitem GROUP BY l_returnflag")
 sql("agg_percentile_disc", "SELECT l_returnflag, PERCENTILE_DISC(0.25, l_extendedprice) AS p FROM lineitem GROUP BY l_returnflag", "lineitem", oracle="SELECT l_returnflag, quantile_disc(l_extendedprice, 0.25) AS p FROM lineitem GROUP BY l_returnflag")
 sql("agg_percentiles", "SELECT PERCENTILE_CONT(0.25, l_quantity) AS a, PERCENTILE_CONT(0.5, l_quantity) AS b, PERCENTILE_CONT(0.75, l_quantity) AS c FROM lineitem", "lineitem", oracle="SELECT quantile_cont(l_quantity, 0.25) AS a, quantile_cont(l_quantity, 0.5) AS b, quantile_cont(l_quantity, 0.75) AS c FROM lineitem")

@@ -56,7 +56,7 @@ def asof_join(probe: DataFrame, build: DataFrame, on: tuple[str, str, str], keys
     return matched.select(*[F.col(f"_p.{c}") for c in own], *[F.col(f"_b.`{c}`").alias(n) for c, n in renamed.items()])
 
 
-def _place(bounds: Column, count: int, below) -> Column:
+def place(bounds: Column, count: int, below) -> Column:
     """How many of `count` ascending bounds are below a value, by halving; below(bound) is true for a beginning of them."""
 
     def halve(acc: Column, _: Column) -> Column:
@@ -71,15 +71,20 @@ def _place(bounds: Column, count: int, below) -> Column:
 RANGE_ROWS, MOST_RANGES = 100_000, 16_384
 
 
+def ranges_of(df: DataFrame, name: str) -> tuple[Column, list]:
+    """Ascending bounds that part the numbers of a column into ranges of about RANGE_ROWS rows: as a column, and as they are."""
+    ranges = max(2, min(MOST_RANGES, df.count() // RANGE_ROWS))
+    shares = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
+    bounds = sorted(set(df.agg(F.percentile_approx(name, shares, 20 * ranges).alias("q")).first()["q"] or []))
+    kind = f"array<{df.schema[name].dataType.simpleString()}>"
+    return F.split(F.lit(",".join(map(repr, bounds))), ",").cast(kind) if bounds else F.array().cast(kind), bounds
+
+
 def _ranged(both: DataFrame, backward: bool, keys: list[str]) -> tuple[DataFrame, list[str]]:
     """Deal rows by time ranges, inside keys. Into each range of a key goes a copy of the key's last build row before it."""
-    ranges = max(2, min(MOST_RANGES, both.count() // RANGE_ROWS))
-    shares = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
-    bounds = sorted(set(both.agg(F.percentile_approx("_t", shares, 20 * ranges).alias("q")).first()["q"] or []))
-    kind = both.schema["_t"].dataType.simpleString()
-    held = F.split(F.lit(",".join(map(repr, bounds))), ",").cast(f"array<{kind}>") if bounds else F.array().cast(f"array<{kind}>")
+    held, bounds = ranges_of(both, "_t")
     edge = (lambda b: b <= F.col("_t")) if backward else (lambda b: b < F.col("_t"))
-    dealt = both.withColumn("_range", _place(held, len(bounds), edge))
+    dealt = both.withColumn("_range", place(held, len(bounds), edge))
     nearest = F.max_by if backward else F.min_by
     row = F.struct("_t", "_b", "_tie", "_tag")
     last = dealt.groupBy(*keys, "_range").agg(nearest(F.when(F.col("_b").isNotNull(), row), F.when(F.col("_b").isNotNull(), F.struct("_t", "_tie"))).alias("x"))
