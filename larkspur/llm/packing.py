@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.common import materialise, quoted
-from larkspur.llm.tokens import encoder
+from larkspur.llm.tokens import encoder, forget
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -105,6 +105,7 @@ def pack(held: DataFrame, capacity: int = 4096, places: int = 2048, tokens_per_t
     def place(batches):
         from pyspark import TaskContext
 
+        forget()  # the pieces are stored, and nothing is encoded here
         bins, first = OpenBins(capacity, places), TaskContext.get().partitionId() << 40
         for batch in batches:
             spots = [bins.place(n) for n in batch.column(where).to_pylist()]

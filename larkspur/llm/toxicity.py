@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import discard, materialise, quoted
+from larkspur.llm.tokens import forget
 
 #: Bounds of the sample that the classifier is fitted on.
 MOST_POSITIVE, MOST_NEGATIVE = 3000, 5000
 MOST_FEATURES = 1000
 PREFIXES = range(4, 9)
 THRESHOLD = 0.7
+#: Texts of an Arrow batch that a Python worker holds as Python objects at once.
+TEXTS_AT_ONCE = 256
 #: Weight of the mean squared change of the score over counterfactual pairs.
 FAIRNESS = 3.0
 
@@ -138,8 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, fairness: float = FAIRNESS, id_col:
     texts = docs.select(quoted(id_col).alias("k"), text.alias("t"), F.xxhash64(text).alias("h")).join(F.broadcast(sample), "k").select("k", "y", "h", "t")
 
     def read(batches):
+        forget()
         ints = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             own, pairs = [], []
             for h, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = set(WORDS.findall(text.lower()))
@@ -162,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, fairness: float = FAIRNESS, id_col:
     place = {h: k for k, h in enumerate(chosen)}
 
     def reduce(batches):
+        forget()
         shorts = pa.list_(pa.int16())
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             to = lambda hs: [place[h] for h in hs if h in place]
             own = [to(hs) for hs in batch.column(1).to_pylist()]
             changes = [[{"plus": to(p["plus"]), "minus": to(p["minus"])} for p in ps] for ps in batch.column(2).to_pylist()]
@@ -184,22 +189,24 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
     """Add a score from 0 to 1 to every row, of its whole text."""
     weights, intercept = model.weights, model.intercept
 
-    @F.pandas_udf("double")
+    @F.arrow_udf("double")
     def scored(texts):
-        import pandas as pd
+        import pyarrow as pa
 
+        forget()
         memo: dict[str, tuple[int, ...]] = {}
         out = np.empty(len(texts))
-        for k, text in enumerate(texts):
-            hits: set[int] = set()
-            for w in set(WORDS.findall(text.lower())):
-                own = memo.get(w)
-                if own is None:
-                    own = memo[w] = tuple(h for h in word_features(w) if h in weights)
-                if own:
-                    hits.update(own)
-            out[k] = intercept + sum(weights[h] for h in sorted(hits))
-        return pd.Series(_logistic(out))
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            for k, text in enumerate(texts.slice(at, TEXTS_AT_ONCE).to_pylist(), at):
+                hits: set[int] = set()
+                for w in set(WORDS.findall(text.lower())):
+                    own = memo.get(w)
+                    if own is None:
+                        own = memo[w] = tuple(h for h in word_features(w) if h in weights)
+                    if own:
+                        hits.update(own)
+                out[k] = intercept + sum(weights[h] for h in sorted(hits))
+        return pa.array(_logistic(out))
 
     return docs.withColumn(into, scored(F.coalesce(quoted(text_col).cast("string"), F.lit(""))))
 

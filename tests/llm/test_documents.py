@@ -800,6 +800,26 @@ def test_toxicity_of_odd_rows(spark):
     assert all(r["s"] == 0.5 for r in rows_of(score(docs, fit(docs, labels.limit(0)), into="s")))
 
 
+def test_scoring_frees_what_tokenizing_kept(spark, monkeypatch):
+    """In a worker that tokenized before, scoring frees the memory of cuts; a batch is read by slices."""
+    import sys
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from larkspur.llm import tokens, toxicity
+
+    made, real = [], toxicity.F.arrow_udf
+    monkeypatch.setattr(toxicity.F, "arrow_udf", lambda kind: lambda f: made.append(f) or real(kind)(f))
+    model = toxicity.Model({h: 0.5 for h in toxicity.word_features("vile")}, -1.0)
+    toxicity.score(spark.createDataFrame([(1, "x")], "doc_id long, text string"), model)
+    tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), "word").encode(["some words"])
+    texts = ["", "vile", "Vile things"] * 300
+    got = made[0](pa.array(texts)).to_pylist()
+    assert "_larkspur_encoders" not in sys.__dict__
+    assert got == [pytest.approx(toxicity._logistic(model.logit(set(toxicity.WORDS.findall(t.lower()))))) for t in texts] and got[1] > got[0]
+
+
 @pytest.mark.parametrize("name", ["op1", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
 def test_empty_tables(spark, empty, name):
     assert rows_of(query(name)(spark, empty)) == []
