@@ -43,6 +43,36 @@ BYTE = _rng.integers(0, 2**64, 256, np.uint64)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 OTHER = _rng.integers(0, 2**64, 256, np.uint64)
+BLOCK = 16_384  # bytes hashed at once
+_kept = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of INVERSE and BASE up to the n-th at least, kept by the Python worker."""
+    if len(_kept[0]) <= n:
+        _kept[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(n + n // 8, x))), dtype=np.uint64) for x in (INVERSE, BASE)]
+    return _kept[0], _kept[1]
+
+
+def _least_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Of each window, across the ends of texts too, the least hash of its inner strings; a block at a time, so that arrays stay in the cache."""
+    n, span = len(data) - width + 1, width - INNER + 1
+    out = np.empty(n, np.uint64)
+    third = np.uint64(pow(0x9E3779B97F4A7C15, 8, 2**64))
+    for at in range(0, n, BLOCK):
+        h, k = BYTE[data[at : at + BLOCK + width - 1]], 1
+        while k < 8:
+            h = h[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) + h[k:]
+            k *= 2
+        h = (h[:-16] * third + h[8:-8]) * third + h[16:]
+        h, k = mixed(h), 1
+        while 2 * k <= span:
+            h = np.minimum(h[:-k], h[k:])
+            k *= 2
+        if k < span:
+            h = np.minimum(h[: len(h) - (span - k)], h[span - k :])
+        out[at : at + BLOCK] = h
+    return out
 
 
 def _pieces(data: np.ndarray, at: np.ndarray, width: int):
@@ -51,42 +81,36 @@ def _pieces(data: np.ndarray, at: np.ndarray, width: int):
     empty, none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if n <= 0:
         return none, none, none, empty, empty, empty
-    h, k = BYTE[data], 1
-    while k < 8:
-        h = h[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) + h[k:]
-        k *= 2
-    third = np.uint64(pow(0x9E3779B97F4A7C15, 8, 2**64))
-    h = (h[:-16] * third + h[8:-8]) * third + h[16:]
-    h, k, span = mixed(h), 1, width - INNER + 1
-    while 2 * k <= span:
-        h = np.minimum(h[:-k], h[k:])
-        k *= 2
-    if k < span:
-        h = np.minimum(h[: len(h) - (span - k)], h[span - k :])
-    length = np.diff(at)
-    whole = length >= width
-    owner = np.repeat(np.arange(len(length)), np.where(whole, length - width + 1, 0))
-    first = np.cumsum(np.where(whole, length - width + 1, 0)) - np.where(whole, length - width + 1, 0)
-    spot = np.arange(len(owner)) - first[owner] + at[owner]
-    if not len(spot):
-        return none, none, none, empty, empty, empty
-    h = h[spot]
-    start = np.ones(len(h), bool)
-    start[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h = _least_hashes(data, width)
+    start = np.ones(n, bool)
+    np.not_equal(h[1:], h[:-1], out=start[1:])
+    start[at[at < n]] = True
     run = np.flatnonzero(start)
-    inside = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
-    head = np.flatnonzero(inside % MOST_WINDOWS == 0)
-    windows = np.diff(np.append(head, len(h)))
-    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), INVERSE))), dtype=np.uint64)
-    p = spot[head]
-    lift = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), BASE))), dtype=np.uint64)[p]
+    follows = np.append(run[1:], n)
+    owner = np.searchsorted(at, run, "right") - 1
+    limit = at[owner + 1] - width + 1  # windows from here on reach beyond the text
+    on = run < limit
+    run, owner, end = run[on], owner[on], np.minimum(follows, limit)[on]
+    if not len(run):
+        return none, none, none, empty, empty, empty
+    parts = -(-(end - run) // MOST_WINDOWS)
+    p = np.repeat(run, parts) + (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * MOST_WINDOWS
+    owner = np.repeat(owner, parts)
+    windows = np.minimum(np.repeat(end, parts) - p, MOST_WINDOWS)
+    powers, lift = _powers(len(data))
 
     def bytes_hash(values: np.ndarray) -> np.ndarray:
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[data] * powers[:-1])))
-        return mixed((total[p + windows + width - 1] - total[p]) * lift + windows.astype(np.uint64))
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        for a in range(0, len(data), BLOCK):
+            part = values[data[a : a + BLOCK]]
+            part *= powers[a : a + len(part)]
+            part[:1] += total[a : a + 1]
+            np.cumsum(part, out=total[a + 1 : a + 1 + len(part)])
+        return mixed((total[p + windows + width - 1] - total[p]) * lift[p] + windows.astype(np.uint64))
 
     # Least hashes are small; mixed again they spread evenly.
-    return mixed(h[head] ^ BASE), bytes_hash(BYTE), bytes_hash(OTHER), owner[head], p, windows
+    return mixed(h[p] ^ BASE), bytes_hash(BYTE), bytes_hash(OTHER), owner, p, windows
 
 
 class Entries:
@@ -96,7 +120,12 @@ class Entries:
         least, own, more, text, place, windows = _pieces(data, at, width)
         least, more = least >> np.uint64(32 - bits), more >> np.uint64(32)
         who = ranks[text]
-        order = np.lexsort((place, more, own, least))  # texts stand by identifier, so the first place has the least one
+        order = np.argsort(least, kind="stable")  # texts stand by identifier, so the first place has the least one
+        tied = np.zeros(len(order) + 1, bool)
+        tied[1:-1] = least[order[1:]] == least[order[:-1]]
+        tied = np.flatnonzero(tied[1:] | tied[:-1])
+        some = order[tied]
+        order[tied] = some[np.lexsort((some, more[some], own[some], least[some]))]
         least, own, more, self.place, self.windows, who = least[order], own[order], more[order], place[order], windows[order], who[order]
         new = np.ones(len(order), bool)
         new[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1]) | (more[1:] != more[:-1])
@@ -124,6 +153,15 @@ def _chunk(row: dict, width: int, bits: int):
     return ids, at, data, Entries(ranks, at, data, width, bits)
 
 
+def _numbered(key: np.ndarray) -> np.ndarray:
+    """The places of values among the distinct ones, from 0."""
+    order = np.argsort(key)
+    value = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], value[1:] != value[:-1])))
+    return out
+
+
 def repeated_windows(pieces: list[bytes], ids: np.ndarray, width: int) -> list[int]:
     """Of each piece, the windows (as bits) that start in a piece with a smaller identifier too.
 
@@ -149,11 +187,15 @@ def repeated_windows(pieces: list[bytes], ids: np.ndarray, width: int) -> list[i
     eight = np.concatenate((text, np.zeros(width + 16, np.uint8))).astype(np.uint64)
     for k in (1, 2, 4):
         eight = (eight[:-k] << np.uint64(8 * k)) | eight[k:]
-    keys = []
-    for at in range(0, width, 8):
-        size = np.clip(np.minimum(left, width) - at, 0, 8)
-        keys.append(np.where(size > 0, eight[at : at + n] >> (np.uint64(8) * (8 - np.maximum(size, 1)).astype(np.uint64)) << (np.uint64(8) * (8 - np.maximum(size, 1)).astype(np.uint64)), 0))
-    suffixes = np.lexsort(keys[::-1])
+    size = np.clip(np.minimum(left, width), 1, 8)
+    drop = np.uint64(8) * (8 - size).astype(np.uint64)
+    key, known = np.where(left > 0, eight[:n] >> drop << drop, 0), 8
+    while known < width:  # number the first `known` bytes, then join the numbers of two places; past a piece's end the number is 0
+        number, step = _numbered(key), min(known, width - known)
+        after = np.zeros(n, np.int64)
+        after[: n - step] = np.where(left[: n - step] >= step, number[step:], 0)
+        key, known = number * (n + 1) + after, known + step
+    suffixes = np.argsort(key, kind="stable")
     before = np.where(suffixes > 0, text[suffixes - 1], 0).astype(np.uint8)
     back = np.empty(n, np.int64)  # where the suffix one byte longer stands
     back[np.argsort(before, kind="stable")] = np.arange(n)
@@ -401,8 +443,9 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
                 np.add.at(change, e.place[whole], 1)
                 np.add.at(change, e.place[whole] + e.windows[whole] + width - 1, -1)
                 some = np.flatnonzero((bitmaps[e.entry] != 0) & ~((state[e.entry] == 1) | e.later))
-                for j in range(MOST_WINDOWS):
-                    p = e.place[some[(bitmaps[e.entry[some]] >> np.uint64(j)) & np.uint64(1) == 1]] + j
+                spot, bitmap = e.place[some], bitmaps[e.entry[some]]
+                for j in range(int(e.windows.max(initial=0))):
+                    p = spot[(bitmap >> np.uint64(j)) & np.uint64(1) == 1] + j
                     np.add.at(change, p, 1)
                     np.add.at(change, p + width, -1)
                 gone = np.cumsum(change[:-1]) > 0

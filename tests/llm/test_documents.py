@@ -861,6 +861,40 @@ def test_repeats_of_null_and_least_identifiers(spark):
     assert got == sorted([(str(-(2**63)), size), ("None", 0), ("None", 0), (str(2**63 - 1), 2 * size), ("0", size)])
 
 
+def test_pieces_by_blocks(monkeypatch):
+    """Windows with one least hash are one piece, wherever a block ends, and hashing holds few bytes for each byte of text."""
+    import tracemalloc
+
+    from larkspur.llm import suffixes
+
+    rng = np.random.default_rng(5)
+    passage = bytes(rng.integers(97, 100, 200).astype(np.uint8))
+    raws = [passage, b"", passage[30:170], b"ab" * 120, passage[:49], passage[5:55], b"", bytes(rng.integers(0, 256, 700).astype(np.uint8))]
+    data, at = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+    whole = suffixes._pieces(data, at, 50)
+    monkeypatch.setattr(suffixes, "BLOCK", 64)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, suffixes._pieces(data, at, 50), strict=True))
+    least, own, more, text, place, windows = whole
+    covered = [p + j for p, w in zip(place.tolist(), windows.tolist(), strict=True) for j in range(w)]
+    assert covered == [a + j for a, r in zip(at.tolist(), raws, strict=False) for j in range(len(r) - 49)] and windows.max() <= suffixes.MOST_WINDOWS
+    assert all(at[t] <= p and p + w + 49 <= at[t + 1] for t, p, w in zip(text, place, windows, strict=True))
+    held: dict[bytes, int] = {}
+    for h, p, w in zip(least.tolist(), place.tolist(), windows.tolist(), strict=True):
+        for j in range(w):
+            assert held.setdefault(data[p + j : p + j + 50].tobytes(), h) == h  # equal windows are in pieces of one least hash
+    named: dict[tuple, bytes] = {}
+    for o, m, p, w in zip(own.tolist(), more.tolist(), place.tolist(), windows.tolist(), strict=True):
+        assert named.setdefault((o, m), data[p : p + w + 49].tobytes()) == data[p : p + w + 49].tobytes()
+    assert len(named) == len({data[p : p + w + 49].tobytes() for p, w in zip(place, windows, strict=True)})
+    monkeypatch.undo()
+    data = rng.integers(97, 123, 1_000_000).astype(np.uint8)
+    tracemalloc.start()
+    suffixes._pieces(data, np.array([0, len(data)]), 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * len(data)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_backward_extension_matches_brute_force(seed):
     from larkspur.llm import suffixes
